@@ -1,0 +1,110 @@
+"""The N best items of every group by simultaneous bisection of order-preserving codes."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from quarryline.session import cut, skew_join
+
+#: A group with more than this part of all rows is hot; there are at most 1 / HOT_SHARE of them.
+HOT_SHARE = 1 / 64
+
+
+def code_of_double(value: Column) -> Column:
+    """A long that orders as the double does (minus zero equals zero); value must be neither null nor NaN."""
+    plain = F.when(value == 0, F.lit(0.0)).otherwise(value)
+    bits = F.call_function(
+        "java_method", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), plain
+    ).cast("long")
+    return F.when(bits >= 0, bits).otherwise(F.lit(-(2**63)) - bits)
+
+
+def codes_of_text(value: Column, longest: int) -> list[Column]:
+    """Longs that order, one after the other, as the text does by code point; null before the empty text.
+
+    ``longest`` is the greatest length in bytes over the whole column. Seven bytes go into a long.
+    """
+    raw = F.coalesce(value, F.lit("")).cast("binary")
+    words = [
+        F.conv(F.rpad(F.hex(F.substring(raw, 1 + at, 7)), 14, "0"), 16, 10).cast("long")
+        for at in range(0, max(longest, 1), 7)
+    ]
+    return [*words, F.when(value.isNull(), F.lit(-1)).otherwise(F.octet_length(raw)).cast("long")]
+
+
+def top_n(items: DataFrame, n: int, words: list[Column], bins: int = 6) -> DataFrame:
+    """The ``n`` rows of each ``grp`` whose code is greatest; all rows of groups with no more than ``n``.
+
+    The code of a row is the sequence ``words`` of longs, compared one after the other; the last of them must
+    tell any two rows of a group apart, so that the choice is always the same (rows that are equal in every word are
+    kept or left together). All groups are refined at once:
+    a round counts the rows of each open group in up to 2 ** (bins + 1) slices of its interval, keeps what lies
+    above the slice that holds the n-th row, and goes on inside that slice, or with the next word where the slice
+    is one value. Per round and group only the counts are moved (added up before the shuffle); rows are joined to
+    their group's interval with hot groups spread. A group ends when exactly n rows lie at or above its cutoff.
+
+    ``grp`` must not be null. An empty input gives an empty result. Columns other than ``grp`` pass through.
+    """
+    names = items.columns
+    base = cut(items.withColumn("_words", F.array(*words)))
+    first = (
+        base.groupBy("grp")
+        .agg(
+            F.count("*").alias("_n"),
+            F.min(F.col("_words")[0]).alias("_lo"),
+            F.max(F.col("_words")[0]).alias("_hi"),
+        )
+        .where(F.col("_n") > n)
+    )
+    first = cut(first)
+    total = base.count()
+    hot = first.where(F.col("_n") > F.lit(max(total * HOT_SHARE, 10_000))).select("grp")
+    spread = F.xxhash64("_words")
+    state = first.select(
+        "grp", F.lit(0).alias("_at"), "_lo", "_hi", F.lit(n).cast("long").alias("_need"),
+        F.array().cast("array<bigint>").alias("_cut"),
+    )
+    active, closed = base.select("grp", "_words"), []
+    while True:
+        here = F.element_at("_words", F.col("_at") + 1)
+        joined = skew_join(active, state, ["grp"], hot, spread).where(here.between(F.col("_lo"), F.col("_hi")))
+        span = F.col("_hi").cast("double") - F.col("_lo").cast("double")
+        shift = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(span, F.lit(1.0)))) - bins).cast("int")
+        joined = joined.withColumn("_w", here).withColumn("_next", F.try_element_at("_words", F.col("_at") + 2))
+        joined = joined.withColumn("_k", shift).withColumn("_bin", F.expr("shiftright(_w, _k) - shiftright(_lo, _k)"))
+        counts = joined.groupBy("grp", "_at", "_need", "_cut", "_bin").agg(
+            F.count("*").alias("_n"), F.min("_w").alias("_min"), F.max("_w").alias("_max"),
+            F.min("_next").alias("_nmin"), F.max("_next").alias("_nmax"),
+        )
+        down = Window.partitionBy("grp").orderBy(F.col("_bin").desc())
+        counts = counts.withColumn("_upto", F.sum("_n").over(down))
+        edge = counts.where("_upto >= _need and _upto - _n < _need").withColumn("_left", F.expr("_need - (_upto - _n)"))
+        one = F.col("_min") == F.col("_max")
+        # rows that no word tells apart stay together
+        full = (F.col("_left") == F.col("_n")) | (one & F.col("_nmin").isNull())
+        edge = cut(
+            edge.select(
+                "grp",
+                full.alias("_done"),
+                F.when(one, F.col("_at") + 1).otherwise(F.col("_at")).alias("_at"),
+                F.when(one, F.col("_nmin")).otherwise(F.col("_min")).alias("_lo"),
+                F.when(one, F.col("_nmax")).otherwise(F.col("_max")).alias("_hi"),
+                F.col("_left").alias("_need"),
+                F.when(full | one, F.concat("_cut", F.array("_min"))).otherwise(F.col("_cut")).alias("_cut"),
+            )
+        )
+        closed.append(edge.where("_done").select("grp", "_cut"))
+        state = edge.where("not _done").drop("_done")
+        if state.isEmpty():
+            break
+        inside = skew_join(active, state, ["grp"], hot, spread)
+        inside = inside.where(F.element_at("_words", F.col("_at") + 1).between(F.col("_lo"), F.col("_hi")))
+        inside = inside.where(F.slice("_words", F.lit(1), F.size("_cut")) == F.col("_cut"))
+        active = cut(inside.select("grp", "_words"))
+    limits = reduce(DataFrame.unionByName, closed)
+    kept = skew_join(base, limits, ["grp"], hot, spread, how="left")
+    # arrays compare element by element, a prefix before what it begins: at or above the cutoff
+    return kept.where(F.col("_cut").isNull() | (F.col("_words") >= F.col("_cut"))).select(*names)
