@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.paths import normal_path, strip_text
 from quarryline.operators.orphans import month, orphan_references
+from quarryline.operators.schema_drift import schema_changes, unified_records
 from quarryline.operators.snapshot_diff import snapshot_changes
 from quarryline.operators.topn import code_of_double, codes_of_text, top_n
 from quarryline.session import table
@@ -62,6 +63,17 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Changes of each file's fields against the file of the producer before it."""
+    changes = schema_changes(table(spark, folder, "eval_records_raw"))
+    return changes.select("file_name", "change_kind", "old_field", "new_field").distinct()
+
+
+def p3_table(spark: SparkSession, folder: str) -> DataFrame:
+    """All records in one schema."""
+    return unified_records(table(spark, folder, "eval_records_raw"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Dirty paths added, removed or changed against the snapshot before."""
     fresh = table(spark, folder, "freshness").where("not coalesce(index_missing, false)")
@@ -110,7 +122,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return by_file.unionByName(by_task)
 
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p5_found": p5_found}
+QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_table": p3_table, "p4_found": p4_found, "p5_found": p5_found}
 
 SQL = {
     "p2_found": r"""

@@ -4,13 +4,22 @@ from __future__ import annotations
 
 import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The parquet table ``name`` of ``folder``; columns and filters are pushed into its scan."""
+    """The parquet table ``name`` of ``folder``; columns and filters are pushed into its scan.
+
+    Python workers get the place of this package, for sessions that were started elsewhere; on a cluster the
+    package is installed or given with --py-files as usual.
+    """
+    root = str(Path(__file__).resolve().parent.parent)
+    paths = spark.sparkContext.environment
+    if root not in paths.get("PYTHONPATH", "").split(os.pathsep):
+        paths["PYTHONPATH"] = os.pathsep.join(filter(None, [paths.get("PYTHONPATH", ""), root]))
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
