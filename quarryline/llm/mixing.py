@@ -49,6 +49,22 @@ def pivotal(sizes: list[int], p: list[float], rng: random.Random) -> list[float]
     return out
 
 
+def against_rest(sizes: list[int], p: float, rest: float, rng: random.Random) -> list[float]:
+    """Round items of equal probability, given largest first, each against all that follow and ``rest`` tokens.
+
+    An item settles by chance at its probability; the expected size that it took or gave goes, in proportion, to
+    the probability of everything after it. Every item keeps its mean as long as no probability leaves 0 to 1.
+    """
+    out, after = [], sum(sizes) + rest
+    for size in sizes:
+        after -= size
+        took = float(rng.random() < p)
+        out.append(took)
+        if after > 0:
+            p = min(1.0, max(0.0, p + (p - took) * size / after))
+    return out
+
+
 def plan_mix(sizes: dict[str, tuple[int, int]], targets: dict[str, tuple[float, int]], total: float | None = None) -> dict[str, float]:
     """Copies per document (a real number up to max_repeats) of each source.
 
@@ -69,8 +85,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total: float | None = None,
     ``docs`` has (doc_id, source, n_tokens), ``targets`` (source, target_share, max_repeats). A document delivered
     repeatedly counts once (with its greatest size and source). Documents without tokens, of no source or of a
     source without target are not in the mix. Each document gets the whole part of its source's copies; the
-    fractional parts are rounded dependently: first those of heavy documents among themselves, their last one by
-    chance, and what that is off their share is taken from the light ones' parts. These are rounded in leaves of
+    fractional parts are rounded dependently: first those of heavy documents, largest first, each against all that
+    are smaller; what they are off their share is taken from the light ones' parts. These are rounded in leaves of
     LEAF documents, at most one residual per leaf goes up a tree of fan-out FAN, and the last one of a source is
     rounded by chance. A source is therefore off its target by less than one light document. The outcome depends on ``seed`` and the documents only, not on partitions.
     """
@@ -94,18 +110,23 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total: float | None = None,
     placed = once.join(plan, "source").withColumn("node", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("leaves")))
     placed = placed.withColumn("n_tokens", F.col("n_tokens").cast("bigint"))
 
-    def round_at(level: int, last: bool = False):  # noqa: ANN202
+    def round_heavy(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["n_tokens", "doc_id"], ascending=[False, True]).reset_index(drop=True)
+        rest = float(sums[key[0]]["tokens"] - part["n_tokens"].sum())
+        part["p"] = against_rest(part["n_tokens"].tolist(), float(part["p"].iloc[0]), rest, random.Random(f"{seed}/{key[0]}"))
+        return part[["source", "node", "doc_id", "n_tokens", "p"]]
+
+    def round_at(level: int):  # noqa: ANN202
         def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
             part = part.sort_values("doc_id").reset_index(drop=True)
             rng = random.Random(f"{seed}/{level}/{key[0]}/{key[1]}")
-            p = pivotal(part["n_tokens"].tolist(), part["p"].tolist(), rng)
-            part["p"] = [float(rng.random() < x) if last and 0 < x < 1 else x for x in p]
+            part["p"] = pivotal(part["n_tokens"].tolist(), part["p"].tolist(), rng)
             return part[["source", "node", "doc_id", "n_tokens", "p"]]
 
         return run
 
     big = placed.where("n_tokens > heavy").select("source", F.lit(-1).cast("bigint").alias("node"), "doc_id", "n_tokens", F.col("part").alias("p"))
-    big = cut(big.groupBy("source", "node").applyInPandas(round_at(-1, last=True), ROUNDED))
+    big = cut(big.groupBy("source", "node").applyInPandas(round_heavy, ROUNDED))
     off = big.join(plan, "source").groupBy("source").agg(F.sum(F.col("n_tokens") * (F.col("p") - F.col("part"))).alias("off"))
     light = placed.where("n_tokens <= heavy")
     mass = light.groupBy("source").agg(F.sum("n_tokens").alias("mass"))
