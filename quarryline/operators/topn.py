@@ -49,7 +49,7 @@ def top_n(items: DataFrame, n: int, words: list[Column], bins: int = 6) -> DataF
     ``grp`` must not be null. An empty input gives an empty result. Columns other than ``grp`` pass through.
     """
     names = items.columns
-    base = cut(items.withColumn("_words", F.array(*words)))
+    base = cut(items.withColumn("_words", F.array(*words)))  # codes are made once
     first = (
         base.groupBy("grp")
         .agg(

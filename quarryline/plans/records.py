@@ -108,7 +108,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     (longest,) = _longest(raw, "signal_id")
     down = [-code for code in codes_of_text(F.col("signal_id"), longest)]
     words = [code_of_double(F.col("score")), F.coalesce(-F.col("line_no").cast("long"), F.lit(-(2**40))), *down, -F.col("finding_id")]
-    best = top_n(findings, 3, words)
+    best = top_n(findings.select("grp", "finding_id", "score", "line_no", "signal_id"), 3, words)
     by_file = best.select(F.lit("placeholder_findings").alias("src_table"), F.col("grp").alias("group_key"), F.col("finding_id").cast("string").alias("item_key"))
 
     focus = table(spark, folder, "task_snapshots").select("task_id", F.explode("focus_files").alias("f"))
