@@ -3,12 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quarryline.llm import syntax
 from quarryline.llm.mixing import mix_sources, shares
 from quarryline.llm.tokens import count_tokens, encode_texts
 from quarryline.session import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that are invalid in the language of their extension."""
+    return syntax.invalid_files(table(spark, folder, "source_files"))
+
+
+def p1_failures(spark: SparkSession, folder: str) -> DataFrame:
+    """Where and why each of them fails."""
+    return syntax.failures(table(spark, folder, "source_files")).withColumn("expected", F.array_join("expected", " "))
+
+
+def p1_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Rates per repository and language, next to what older runs claim."""
+    return syntax.rates(table(spark, folder, "source_files"), table(spark, folder, "freshness"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The token ids of every document."""
     return encode_texts(table(spark, folder, "documents").select("doc_id", "text"))
@@ -29,6 +46,6 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return shares(_mix(spark, folder), table(spark, folder, "mix_targets"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p1_failures": p1_failures, "p1_rates": p1_rates, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
 
 SQL: dict[str, str] = {}
