@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import syntax
+from quarryline.llm.origin import origins
 from quarryline.llm.mixing import mix_sources, shares
 from quarryline.llm.tokens import count_tokens, encode_texts
 from quarryline.session import table
@@ -26,6 +27,26 @@ def p1_rates(spark: SparkSession, folder: str) -> DataFrame:
     return syntax.rates(table(spark, folder, "source_files"), table(spark, folder, "freshness"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that are not handwritten."""
+    return origins(table(spark, folder, "source_files")).where("label <> 'handwritten'").select("file_id")
+
+
+def p6_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The origin of every file with text."""
+    return origins(table(spark, folder, "source_files"))
+
+
+def p6_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """Placeholder findings in handwritten files only, per repository, next to all of them."""
+    files = table(spark, folder, "source_files").select("file_id", "repo", "file_path").distinct()
+    made = files.join(p6_found(spark, folder), "file_id").select("repo", "file_path", F.lit(True).alias("made")).distinct()
+    findings = table(spark, folder, "placeholder_findings").select("repo", "file_path")
+    # counts per file meet the labels, so a file with a tenth of all findings is one row
+    counts = findings.groupBy("repo", "file_path").agg(F.count("*").alias("n")).join(made, ["repo", "file_path"], "left")
+    return counts.groupBy("repo").agg(F.sum("n").alias("findings"), F.sum(F.when(F.col("made").isNull(), F.col("n")).otherwise(0)).alias("in_handwritten"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The token ids of every document."""
     return encode_texts(table(spark, folder, "documents").select("doc_id", "text"))
@@ -46,6 +67,6 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return shares(_mix(spark, folder), table(spark, folder, "mix_targets"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_failures": p1_failures, "p1_rates": p1_rates, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p1_failures": p1_failures, "p1_rates": p1_rates, "p6_found": p6_found, "p6_labels": p6_labels, "p6_findings": p6_findings, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
 
 SQL: dict[str, str] = {}
