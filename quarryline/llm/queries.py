@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import syntax
-from quarryline.llm.origin import origins
 from quarryline.llm.mixing import mix_sources, shares
+from quarryline.llm.origin import origins
+from quarryline.llm.subjects import assign_subjects, composition, fit_subjects
 from quarryline.llm.tokens import count_tokens, encode_texts
 from quarryline.session import table
 
@@ -67,6 +68,22 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return shares(_mix(spark, folder), table(spark, folder, "mix_targets"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_failures": p1_failures, "p1_rates": p1_rates, "p6_found": p6_found, "p6_labels": p6_labels, "p6_findings": p6_findings, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
+def _subjects(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = fit_subjects(documents, table(spark, folder, "subject_labels"), table(spark, folder, "subject_areas"))
+    return assign_subjects(documents, model)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The one or two subjects of every document."""
+    return _subjects(spark, folder).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """The make-up of the corpus by subject."""
+    return composition(_subjects(spark, folder))
+
+
+QUERIES = {"p1_found": p1_found, "p1_failures": p1_failures, "p1_rates": p1_rates, "p6_found": p6_found, "p6_labels": p6_labels, "p6_findings": p6_findings, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_composition": p9_composition}
 
 SQL: dict[str, str] = {}
