@@ -289,7 +289,7 @@ def fit_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame, most
     per = labels.where("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.collect_set(F.lower(F.trim("subject"))).alias("have"))
     per = per.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # the documented bound
     texts = documents.join(F.broadcast(per), "doc_id").where("text is not null").dropDuplicates(["doc_id"])
-    rows = sorted(texts.select("doc_id", F.substring("text", 1, 200_000).alias("text"), "source", "have").collect(), key=lambda r: r[0])
+    rows = sorted(texts.select("doc_id", "text", "source", "have").collect(), key=lambda r: r[0])
     kept, sets = [], []
     for r in rows:
         have = {s for s in r["have"] if s in subjects}
