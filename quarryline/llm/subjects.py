@@ -6,7 +6,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Hashed features; labelled documents that a model is fitted on at most (more are sampled by hash of their id).
-WIDTH, MOST_LABELLED = 1 << 17, 4_000
+WIDTH, MOST_LABELLED = 1 << 17, 3_000
 #: The subject that holds only for documents without any other.
 ALONE = "software"
 BEAM = 6
@@ -25,37 +24,111 @@ WORD = re.compile(r"[^\W\d_]{2,}")
 CAMEL = re.compile(r"(?<=[a-zà-ÿ0-9])(?=[A-ZÀ-Þ])")
 
 
-@lru_cache(maxsize=300_000)
-def slot(name: str) -> int:
-    return zlib.crc32(name.encode()) % WIDTH
+#: The place of no term: its row in a table is zero.
+NONE = WIDTH
+#: What ends a sentence, among the words of a text.
+BREAK = -1
 
 
-def words_of(text: str | None) -> list[str]:
-    """The words of a text in lower case, identifiers split into theirs."""
-    return [w.lower() for w in WORD.findall(CAMEL.sub(" ", text or ""))]
+class Vocabulary(dict):
+    """Token -> number; per number the places of the words that an identifier is made of and of their first letters."""
 
+    def __init__(self) -> None:
+        super().__init__()
+        self.words: list[int] = []
+        self.firsts: list[int] = []
+        self.begin: list[int] = [0]
 
-SENTENCE = re.compile(r"(?<=[.!?:;])\s+|\n+")
+    def __missing__(self, token: str) -> int:
+        if token[0] in ".!?:;\n\0":
+            self.words.append(BREAK)
+            self.firsts.append(NONE)
+        else:
+            for w in [p for p in CAMEL.split(token) if len(p) > 1] or [token]:
+                low = w.lower()
+                self.words.append(zlib.crc32(low.encode()) % WIDTH)
+                self.firsts.append(zlib.crc32(b"~" + low[:STEM].encode()) % WIDTH if len(low) > STEM else NONE)
+        self[token] = number = len(self.begin) - 1
+        self.begin.append(len(self.words))
+        return number
 
 
-def terms(sentence: str) -> list[int]:
-    """The places of a sentence's terms, each once: its words, their first letters, and pairs of neighbours."""
-    words = words_of(sentence)
-    found = {slot(w) for w in words}
-    found |= {slot("~" + w[:STEM]) for w in words if len(w) > STEM}
-    found |= {slot(f"{a} {b}") for a, b in zip(words, words[1:], strict=False)}
-    return list(found)
+TOKEN = re.compile(r"[^\W\d_]{2,}|[.!?:;](?=\s)|[\n\0]")
+MOST_KNOWN = 400_000
+_known = Vocabulary()
 
 
-def sentences(text: str) -> list[list[int]]:
-    """The terms of each sentence of a text that has any."""
-    return [t for t in map(terms, SENTENCE.split(text)) if t]
+class Sentences:
+    """Sentences of many texts as sparse rows of terms: words, their first letters, and pairs of neighbours.
+
+    ``at`` holds the terms of all sentences one after the other, ``starts`` where each sentence begins, ``text`` the
+    text of each sentence. Identifiers count as the words they are made of. Sentences without words are none.
+    """
+
+    def __init__(self, texts: list[str]) -> None:
+        global _known
+        if len(_known) > MOST_KNOWN:
+            _known = Vocabulary()
+        tokens = TOKEN.findall("\0".join(t.replace("\0", " ") for t in texts) + "\0")
+        ids = np.fromiter(map(_known.__getitem__, tokens), np.int64, len(tokens))
+        ends = np.cumsum(ids == _known["\0"]) - (ids == _known["\0"])  # the text of each token
+        begin = np.array(_known.begin)
+        parts = begin[ids + 1] - begin[ids]
+        place = np.repeat(begin[ids] - np.concatenate([[0], np.cumsum(parts)[:-1]]), parts) + np.arange(parts.sum())
+        both = np.column_stack([np.array(_known.words)[place], np.array(_known.firsts)[place]])
+        owner = np.repeat(ends, parts)
+        breaks = both[:, 0] == BREAK
+        owner = owner[~breaks]
+        number = np.cumsum(breaks)[~breaks]
+        both = both[~breaks]
+        new = np.concatenate([[True], number[1:] != number[:-1]]) if len(number) else np.zeros(0, bool)
+        row = np.cumsum(new) - 1
+        owner = owner[new]
+        pair = np.full(len(row), NONE)
+        if len(row):
+            same = row[1:] == row[:-1]
+            pair[1:] = np.where(same, (both[:-1, 0] * 1_000_003 + both[1:, 0]) % WIDTH, NONE)
+        self.at = np.column_stack([both, pair]).ravel()
+        self.row = np.repeat(row, 3)
+        self.n, self.text, self.texts = int(new.sum()), owner.astype(np.int64), len(texts)
+        self._place()
+
+    def _place(self) -> None:
+        self.lengths = np.bincount(self.row, self.at != NONE, self.n).astype(np.int64)
+        held = np.bincount(self.row, minlength=self.n)
+        self.starts = np.concatenate([[0], np.cumsum(held)[:-1]]).astype(np.int64) if self.n else np.zeros(0, np.int64)
+
+    def times(self, table: np.ndarray) -> np.ndarray:
+        """Sums of a table's rows over the terms of each sentence."""
+        return np.add.reduceat(table[self.at], self.starts, axis=0) if self.n else np.zeros((0, table.shape[1]))
+
+    def some(self, keep: np.ndarray) -> Sentences:
+        """The sentences of some texts (ascending numbers), renumbered."""
+        number = np.full(self.texts, -1)
+        number[keep] = np.arange(len(keep))
+        mine = number[self.text] >= 0
+        out = Sentences.__new__(Sentences)
+        terms = mine[self.row]
+        out.at, out.row = self.at[terms], (np.cumsum(mine) - 1)[self.row[terms]]
+        out.n, out.text, out.texts = int(mine.sum()), number[self.text[mine]], len(keep)
+        out._place()
+        return out
+
+    def back(self, weights: np.ndarray) -> np.ndarray:
+        """Sums of sentence weights over the sentences of each term."""
+        order = np.argsort(self.at, kind="stable")
+        terms, begins = np.unique(self.at[order], return_index=True)
+        out = np.zeros((WIDTH + 1, weights.shape[1]), np.float32)
+        if len(terms):
+            out[terms] = np.add.reduceat(weights[self.row[order]], begins, axis=0)
+        out[NONE] = 0
+        return out
 
 
 @dataclass
 class Model:
     subjects: list[str]  # in the order of the chain, ALONE last
-    lexicon: np.ndarray  # WIDTH x subjects: log-odds of a term in sentences on a subject against other sentences
+    lexicon: np.ndarray  # term x subject: log-odds of a term in sentences on a subject against other sentences
     weights: np.ndarray  # features x subjects
     bias: np.ndarray
     links: np.ndarray  # links[k, j]: what subject k adds to the score of a later subject j
@@ -63,43 +136,18 @@ class Model:
     shift: np.ndarray
 
 
-class Rows:
-    """Sparse rows in one array each of places, values and row numbers."""
-
-    def __init__(self, items: list[tuple[list[int], list[float]]]) -> None:
-        self.n = len(items)
-        self.lengths = np.array([len(i) for i, _ in items], np.int64)
-        self.at = np.fromiter((x for i, _ in items for x in i), np.int64, int(self.lengths.sum()))
-        self.value = np.fromiter((x for _, v in items for x in v), np.float32, int(self.lengths.sum()))
-        self.row = np.repeat(np.arange(self.n), self.lengths)
-
-    def times(self, weights: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.n, weights.shape[1]), np.float64)
-        for j in range(weights.shape[1]):
-            out[:, j] = np.bincount(self.row, self.value * weights[self.at, j], self.n)
-        return out
-
-    def back(self, errors: np.ndarray, width: int) -> np.ndarray:
-        out = np.empty((width, errors.shape[1]), np.float32)
-        for j in range(errors.shape[1]):
-            out[:, j] = np.bincount(self.at, self.value * errors[self.row, j], width)
-        return out
-
-
-def lexicon_of(texts: list[list[list[int]]], labels: np.ndarray, rounds: int = 5, least: float = 0.05) -> np.ndarray:
-    """Log-odds of terms by subject, from texts (sentences of terms) with labels, by expectation maximisation.
+def lexicon_of(rows: Sentences, labels: np.ndarray, rounds: int = 3, least: float = 0.05) -> np.ndarray:
+    """Log-odds of terms by subject, from texts with labels, by expectation maximisation.
 
     Each sentence of a text is on one of its subjects or on none; which, is told by the terms of the round before.
     """
-    rows = Rows([(t, [1.0] * len(t)) for text in texts for t in text])
     k = labels.shape[1]
-    allowed = np.repeat(labels, [len(t) for t in texts], axis=0)
-    allowed = np.hstack([allowed, np.ones((rows.n, 1))])  # the last: on none
-    post = allowed * np.where(np.arange(k + 1) < k, 1.0, 0.25)
+    allowed = np.hstack([labels[rows.text], np.ones((rows.n, 1))])  # the last: on none
+    post = (allowed * np.where(np.arange(k + 1) < k, 1.0, 0.25)).astype(np.float32)
     post /= post.sum(1, keepdims=True)
-    table = np.zeros((WIDTH, k), np.float32)
+    table = np.zeros((WIDTH + 1, k), np.float32)
     for _ in range(rounds):
-        counts = rows.back(post, WIDTH)
+        counts = rows.back(post)
         every = counts.sum(1, keepdims=True)
         totals = post.sum(0)
         # how often sentences on a subject have the term, against all others
@@ -109,121 +157,105 @@ def lexicon_of(texts: list[list[list[int]]], labels: np.ndarray, rounds: int = 5
         table[every[:, 0] == 0] = 0
         score = np.hstack([subject_scores(rows, table), np.zeros((rows.n, 1))])
         score = np.where(allowed > 0, score + np.log(np.array([1.0] * k + [0.5])), -np.inf)
-        post = np.exp(score - score.max(1, keepdims=True))
+        post = np.exp(score - score.max(1, keepdims=True)).astype(np.float32) if rows.n else post
         post /= post.sum(1, keepdims=True)
     return table
 
 
-def subject_scores(rows: Rows, table: np.ndarray) -> np.ndarray:
-    """Scores of sentences: terms overlap in words, stems and pairs, so their log-odds are damped by the root of
-    their number."""
+def subject_scores(rows: Sentences, table: np.ndarray) -> np.ndarray:
+    """Scores of sentences: terms overlap in words, first letters and pairs, so their log-odds are damped by the root
+    of their number."""
     return rows.times(table) / np.sqrt(np.maximum(rows.lengths, 1))[:, None]
 
 
 STEPS = (0.03, 0.08, 0.14, 0.2, 0.27, 0.35, 0.5)
+NUMBERS = (0.8, 1.6, 2.4, 3.5, 5)
+#: Places for sources (hashed) and sizes (by powers of four) behind the subjects' features.
+SOURCES, SIZES = 32, 24
 
 
-def features(texts: list[list[list[int]]], sources: list[str | None], sizes: list[int], table: np.ndarray) -> list[tuple[list[int], list[float]]]:
+def features(rows: Sentences, sources: list[str | None], sizes: list[int], table: np.ndarray) -> np.ndarray:
     """Per text: of each subject the share and number of its sentences (also in steps), its place among the others and
-    its part in the first sentence; the source; the size. Places below SOURCES are fixed, sources are hashed."""
-    k = table.shape[1]
-    rows = Rows([(t, [1.0] * len(t)) for text in texts for t in text])
+    its part in the first sentence; the source; the size."""
+    n, k = rows.texts, table.shape[1]
     score = np.hstack([subject_scores(rows, table) - 1.0, np.zeros((rows.n, 1))])
     post = np.exp(score - score.max(1, keepdims=True)) if rows.n else score
-    post = post / post.sum(1, keepdims=True) if rows.n else post
-    out, at = [], 0
-    for text, source, size in zip(texts, sources, sizes, strict=True):
-        mine = post[at : at + len(text), :k]
-        at += len(text)
-        number = mine.sum(0)
-        told = max(float(number.sum()), 1e-9)
-        share = number / told
-        rank = np.argsort(np.argsort(-number, kind="stable"), kind="stable")
-        first = mine[0] if len(mine) else np.zeros(k)
-        names: list[int] = []
-        values: list[float] = []
-        for j in range(k):
-            own = [share[j], np.log1p(number[j]), number[j] / max(1, len(text)), first[j], float(rank[j] == 0), float(rank[j] == 1) * share[j]]
-            own += [float(share[j] > s) for s in STEPS] + [float(number[j] > n) for n in (0.8, 1.6, 2.4, 3.5, 5)]
-            for i, x in enumerate(own):
-                if x:
-                    names.append(j * PER_SUBJECT + i)
-                    values.append(float(x))
-        names += [SOURCES + zlib.crc32(f"source={source}".encode()) % 64, SOURCES + 64 + size.bit_length() // 2]
-        out.append((names, [*values, 0.3, 0.3]))
-    return out
-
-
-#: Features of one subject; where those of sources begin; all features.
-PER_SUBJECT, SOURCES = 24, 24 * 1000
-FEATURES = SOURCES + 128
+    post = (post / post.sum(1, keepdims=True))[:, :k] if rows.n else score[:, :k]
+    number, first = np.zeros((n, k)), np.zeros((n, k))
+    length = np.bincount(rows.text, minlength=n)
+    has = np.flatnonzero(length)
+    if len(has):
+        begins = np.concatenate([[0], np.cumsum(length[has])[:-1]])
+        number[has] = np.add.reduceat(post, begins, axis=0)
+        first[has] = post[begins]
+    share = number / np.maximum(number.sum(1, keepdims=True), 1e-9)
+    rank = np.argsort(np.argsort(-number, axis=1, kind="stable"), axis=1, kind="stable")
+    parts = [share, np.log1p(number), number / np.maximum(length, 1)[:, None], first, rank == 0, (rank == 1) * share]
+    parts += [share > s for s in STEPS] + [number > m for m in NUMBERS]
+    origin = np.zeros((n, SOURCES + SIZES))
+    origin[np.arange(n), [zlib.crc32(str(s).encode()) % SOURCES for s in sources]] = 0.3
+    origin[np.arange(n), [SOURCES + min(SIZES - 1, z.bit_length() // 2) for z in sizes]] = 0.3
+    return np.hstack([*parts, origin]).astype(np.float64)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _fit(rows: Rows, y: np.ndarray, steps: int = 120, rate: float = 0.3, decay: float = 2e-5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic regressions of a chain, all at once, by Adam on the places that occur; earlier labels are inputs."""
-    used, at = np.unique(rows.at, return_inverse=True)
-    small = Rows.__new__(Rows)
-    small.n, small.lengths, small.at, small.value, small.row = rows.n, rows.lengths, at, rows.value, rows.row
+def _fit(x: np.ndarray, y: np.ndarray, steps: int = 150, rate: float = 0.2, decay: float = 2e-5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logistic regressions of a chain, all at once, by Adam; earlier labels are inputs of later ones."""
     k = y.shape[1]
     upper = np.triu(np.ones((k, k)), 1)
-    params = [np.zeros((len(used), k), np.float32), np.log((y.mean(0) + 1e-3) / (1 - y.mean(0) + 1e-3)), np.zeros((k, k))]
+    params = [np.zeros((x.shape[1], k)), np.log((y.mean(0) + 1e-3) / (1 - y.mean(0) + 1e-3)), np.zeros((k, k))]
     m = [np.zeros_like(p) for p in params]
     v = [np.zeros_like(p) for p in params]
-    weight = np.where(y > 0, 1.0, 1.0)
     for step in range(1, steps + 1):
         w, b, c = params
-        error = (_sigmoid(small.times(w) + b + y @ (c * upper)) - y) * weight / rows.n
-        grads = [small.back(error, len(used)) + decay * w, error.sum(0), (y.T @ error) * upper + 1e-3 * c]
+        error = (_sigmoid(x @ w + b + y @ (c * upper)) - y) / len(x)
+        grads = [x.T @ error + decay * w, error.sum(0), (y.T @ error) * upper + 1e-3 * c]
         for i, g in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.99 * v[i] + 0.01 * g * g
             now = rate * (0.5 if i else 1) * min(1.0, 2 * (1 - step / (steps + 1)))
-            params[i] = (params[i] - now * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-8)).astype(params[i].dtype)
-    full = np.zeros((FEATURES, k), np.float32)
-    full[used] = params[0]
-    return full, params[1], params[2] * upper
+            params[i] = params[i] - now * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-8)
+    return params[0], params[1], params[2] * upper
+
+
+FOLDS = 3
 
 
 def train(texts: list[tuple[str, str | None]], labels: list[set[str]], subjects: list[str]) -> Model:
-    """Fit a chain; labels that a first model finds all but impossible are left out of the second fit; scores are
-    calibrated on a fifth of the documents that the model for it hasn't seen."""
+    """Fit a chain; documents whose labels a model of the others finds all but impossible are left out of the last
+    fit; scores are calibrated on documents that the model for them hasn't seen."""
     order = sorted(s for s in subjects if s != ALONE) + [s for s in subjects if s == ALONE]
     y = np.array([[float(s in have) for s in order] for have in labels]).reshape(len(labels), len(order))
-    split = [sentences(t) for t, _ in texts]
+    rows = Sentences([t for t, _ in texts])
     sources, sizes = [s for _, s in texts], [len(t) for t, _ in texts]
-
-    def made(which: list[int] | np.ndarray, table: np.ndarray) -> Rows:
-        return Rows(features([split[i] for i in which], [sources[i] for i in which], [sizes[i] for i in which], table))
-
-    # features of a text come from terms of other texts, as they do for texts without labels
-    fold = np.arange(len(texts)) % 5
-    cross: list[tuple[list[int], list[float]]] = [([], [])] * len(texts)
-    for f in range(5) if len(texts) >= 25 else []:
+    if len(texts) < 25 or not order:
+        table = lexicon_of(rows, y) if order else np.zeros((WIDTH + 1, 0), np.float32)
+        x = features(rows, sources, sizes, table)
+        w, b, c = _fit(x, y) if len(texts) else (np.zeros((x.shape[1], len(order))), np.zeros(len(order)), np.zeros((len(order),) * 2))
+        return Model(order, table, w, b, c, np.ones(len(order)), np.zeros(len(order)))
+    # features of a text come from the terms of other texts, as they do for texts without labels
+    fold = np.arange(len(texts)) % FOLDS
+    x = np.zeros((len(texts), len(order) * (6 + len(STEPS) + len(NUMBERS)) + SOURCES + SIZES))
+    for f in range(FOLDS):
         seen, mine = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-        table = lexicon_of([split[i] for i in seen], y[seen])
-        for i, row in zip(mine, features([split[i] for i in mine], [sources[i] for i in mine], [sizes[i] for i in mine], table), strict=True):
-            cross[i] = row
-    table = lexicon_of(split, y)
-    items = cross if len(texts) >= 25 else features(split, sources, sizes, table)
+        table = lexicon_of(rows.some(seen), y[seen])
+        x[mine] = features(rows.some(mine), [sources[i] for i in mine], [sizes[i] for i in mine], table)
     held = np.zeros_like(y)
-    for f in range(5) if len(items) >= 25 else []:
+    for f in range(FOLDS):
         seen, mine = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-        w, b, c = _fit(Rows([items[k] for k in seen]), y[seen], steps=100)
-        held[mine] = Rows([items[k] for k in mine]).times(w) + b + y[mine] @ c
-    # a wrong hand label: the model of the others gives it next to nothing while it is sure of another
+        w, b, c = _fit(x[seen], y[seen])
+        held[mine] = x[mine] @ w + b + y[mine] @ c
+    # a wrong hand label: next to nothing speaks for it while another subject is sure
     sure = _sigmoid(held)
-    doubt = ((y > 0) & (sure < 0.02)).any(1) & ((y == 0) & (sure > 0.8)).any(1) if len(items) >= 25 else np.zeros(len(items), bool)
-    keep = np.flatnonzero(~doubt)
-    w, b, c = _fit(Rows([items[k] for k in keep]), y[keep])
+    keep = np.flatnonzero(~(((y > 0) & (sure < 0.02)).any(1) & ((y == 0) & (sure > 0.8)).any(1)))
+    w, b, c = _fit(x[keep], y[keep])
     scale, shift = np.ones(len(order)), np.zeros(len(order))
-    if len(keep) >= 25:
-        for j in range(len(order)):
-            scale[j], shift[j] = _platt(held[keep, j], y[keep, j])
-    return Model(order, lexicon_of([split[k] for k in keep], y[keep]), w, b, c, scale, shift)
+    for j in range(len(order)):
+        scale[j], shift[j] = _platt(held[keep, j], y[keep, j])
+    return Model(order, lexicon_of(rows.some(keep), y[keep]), w, b, c, scale, shift)
 
 
 def _platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -242,36 +274,38 @@ def _platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def decode(model: Model, scores: np.ndarray) -> list[tuple[list[str], float]]:
     """For each row of plain scores the likeliest combination of one or two subjects, and its log-probability.
 
-    A beam of partial combinations goes along the chain; ALONE is open only to those with no subject yet and must
-    be taken by them, and nothing gets more than two.
+    A beam of partial combinations goes along the chain, for all rows at once. ALONE is open only to combinations
+    that are empty, and must be taken by them; none gets more than two. The empty one keeps a place in the beam, as
+    it may become ALONE.
     """
-    out = []
-    last = len(model.subjects) - 1 if model.subjects[-1:] == [ALONE] else None
-    for row in scores:
-        beam: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
-        for j, base in enumerate(row):
-            grown = []
-            for logp, have in beam:
-                s = model.scale[j] * (base + sum(model.links[k, j] for k in have)) + model.shift[j]
-                yes, no = -np.logaddexp(0, -s), -np.logaddexp(0, s)
-                if j == last:
-                    grown.append((logp + yes, (j,)) if not have else (logp + no, have))
-                    continue
-                grown.append((logp + no, have))
-                if len(have) < 2:
-                    grown.append((logp + yes, (*have, j)))
-            # the empty combination stays in the beam: it is the one that may become ALONE
-            grown.sort(key=lambda x: (-x[0], x[1]))
-            beam = grown[:BEAM] + [g for g in grown[BEAM:] if not g[1]]
-        best = max((b for b in beam if b[1]), default=(0.0, ()), key=lambda x: x[0])
-        out.append(([model.subjects[k] for k in best[1]], best[0]))
-    return out
+    n, k = scores.shape
+    if not n or not k:
+        return [([], 0.0)] * n
+    last = k - 1 if model.subjects[-1] == ALONE else -1
+    logp = np.full((n, BEAM + 1), -np.inf)
+    logp[:, 0] = 0.0  # place 0 is the empty combination
+    have = np.zeros((n, BEAM + 1, k), np.int8)
+    for j in range(k):
+        s = model.scale[j] * (scores[:, j, None] + have @ model.links[:, j]) + model.shift[j]
+        yes, no = logp - np.logaddexp(0, -s), logp - np.logaddexp(0, s)
+        size = have.sum(2)
+        yes = np.where((size == 0) if j == last else (size < 2), yes, -np.inf)
+        taken = have.copy()
+        taken[:, :, j] = 1
+        if j == last:
+            no[:, 0] = -np.inf
+        rest, mine = np.concatenate([no[:, 1:], yes], 1), np.concatenate([have[:, 1:], taken], 1)
+        best = np.argsort(-rest, axis=1, kind="stable")[:, :BEAM]
+        logp = np.concatenate([no[:, :1], np.take_along_axis(rest, best, 1)], 1)
+        have = np.concatenate([have[:, :1], np.take_along_axis(mine, best[:, :, None], 1)], 1)
+    top = logp[:, 1]
+    return [([model.subjects[j] for j in np.flatnonzero(have[i, 1])], float(top[i])) for i in range(n)]
 
 
 def predict(model: Model, texts: list[str], sources: list[str | None]) -> list[tuple[list[str], float]]:
     """The subjects of each text, with the combination's log-probability."""
-    rows = Rows(features([sentences(t) for t in texts], sources, [len(t) for t in texts], model.lexicon))
-    return decode(model, rows.times(model.weights) + model.bias)
+    x = features(Sentences(texts), sources, [len(t) for t in texts], model.lexicon)
+    return decode(model, x @ model.weights + model.bias)
 
 
 def judgeable(text: str | None) -> bool:
