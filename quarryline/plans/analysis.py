@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import paths as P
 from quarryline.functions import text as X
-from quarryline.operators import changes, graph, ranking, relations, retrieve
+from quarryline.operators import changes, evaluate, graph, ledger, memory, ranking, relations, retrieve, scan
 from quarryline.plans import facts
 from quarryline.plans import sqlparts as S
 from quarryline.schema import CALLEE_KINDS, CALLER_KINDS, EDGE_ORDER, FUNCTIONAL_WEIGHT, IMPACT_KINDS, ordinal
 from quarryline.session import cut, table
+from quarryline.sources.extract import extract_facts
+from quarryline.streaming import live
 
 KEY = ["repo", "path"]
 SQL: dict[str, str] = {}
@@ -690,4 +692,135 @@ SQL["q3_repo_map"] = _RANKED + """, t as (select *, row_number() over (partition
     b as (select repo, path, round(rank, 6) rank, row_number() over (partition by repo order by round(rank, 6) desc, path)::int place from ranked)
     select b.*, coalesce(symbols, '') symbols from b left join n on n.repo = b.repo and n.path = b.path where place <= 10"""
 
-QUERIES = {n: f for n, f in globals().items() if callable(f) and not n.startswith("_") and n[0] in "fauwqjg" and n[1:2].isdigit()}
+
+# ------------------------------------------------------------ text of files
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(repo, path, text) of files with text, each once."""
+    raw = table(spark, folder, "source_files").where("repo is not null and file_path is not null and source_text is not null")
+    return raw.groupBy("repo", F.col("file_path").alias("path")).agg(F.max("source_text").alias("text"))
+
+
+_TEXTS = "with x as (select repo, file_path path, max(source_text) text from source_files where repo is not null and file_path is not null and source_text is not null group by all)"
+
+
+def x6_headings(spark: SparkSession, folder: str) -> DataFrame:
+    """Headings of the documents."""
+    return scan.markdown_headings(texts(spark, folder))
+
+
+SQL["x6_headings"] = _TEXTS + r""", l as (select repo, path, unnest(string_split_regex(text, '\r?\n')) line, generate_subscripts(string_split_regex(text, '\r?\n'), 1) line_no from x where regexp_matches(lower(path), '\.(md|mdx|rst|txt)$'))
+    select repo, path, line_no::int line_no, length(regexp_extract(line, '^(#{1,6})\s+(.+?)\s*#*\s*$', 1))::int as "level", regexp_extract(line, '^(#{1,6})\s+(.+?)\s*#*\s*$', 2) title, length(regexp_extract(line, '^(#{1,6})\s+(.+?)\s*#*\s*$', 1)) <= 2 exported
+    from l where regexp_matches(line, '^(#{1,6})\s+(.+?)\s*#*\s*$')"""
+
+
+def x11_path_risks(spark: SparkSession, folder: str) -> DataFrame:
+    """Risks that paths tell of."""
+    return scan.path_risks(facts.files(spark, folder).select("repo", "path"))
+
+
+_CONTROL = "(regexp_matches(path, '^scripts/(service|release|preview)-control\\.sh$') or ends_with(path, '.service'))"
+SQL["x11_path_risks"] = S.facts("files") + f""" select repo, path, 'public-surface' signal, 2.0::double score from files where regexp_matches(path, {S.quoted(P.PUBLIC)})
+    union all select repo, path, 'adapter-runtime', 2.0 from files where contains(path, '/adapters/') union all select repo, path, 'package-manifest', 1.5 from files where contains(path, '/packages/')
+    union all select repo, path, 'operator-runtime', 2.0 from files where {_CONTROL} union all select repo, path, 'config-or-migration', 1.5 from files where contains(path, 'migration') or contains(path, 'config') or ends_with(path, '.service')
+    union all select repo, path, 'test-file', 0.5 from files where is_test"""
+
+
+def x12_pattern_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Matches of the rules on code, the first five of each file and rule."""
+    return scan.pattern_hits(texts(spark, folder))
+
+
+def _rule_sql(rule: str, score: float, pattern: str, languages: str, where: str) -> str:
+    found = f"regexp_extract_all(text, {S.quoted('(' + pattern + ')')}, 1)"
+    fits = f"{S.language('path')} in ({','.join(map(S.quoted, languages.split()))})" + (f" and regexp_matches(path, {S.quoted(where)})" if where else "")
+    return f"select repo, path, {S.quoted(rule)} as rule, {score}::double score, len({found})::int hits, array_to_string({found}[1:5], '|') matches from x where {fits} and len({found}) > 0"
+
+
+SQL["x12_pattern_rules"] = _TEXTS + " " + " union all ".join(_rule_sql(*r) for r in scan.RULES)
+
+
+def x13_placeholders(spark: SparkSession, folder: str) -> DataFrame:
+    """Placeholders in the text of files, the twelve highest of each."""
+    return scan.placeholders(texts(spark, folder))
+
+
+def x2_extracted(spark: SparkSession, folder: str) -> DataFrame:
+    """Symbols, imports and usages of all files of languages with an extractor, by kind and file."""
+    return extract_facts(texts(spark, folder)).groupBy("repo", "path", "fact", "kind").agg(F.count("*").alias("n"))
+
+
+def s24_raw_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines with a literal, the first 25 of each file."""
+    return scan.raw_search(texts(spark, folder), ["<<<<<<<", "TODO", "import "])
+
+
+SQL["s24_raw_search"] = _TEXTS + r""", l as (select repo, path, unnest(string_split_regex(text, '\r?\n')) line, generate_subscripts(string_split_regex(text, '\r?\n'), 1)::int line_no from x),
+    h as (select repo, path, line_no, substr(trim(line), 1, 220) line, pattern from l, (values ('<<<<<<<'), ('TODO'), ('import ')) p(pattern) where contains(l.line, pattern))
+    select * from (select repo, path, line_no, line, pattern, row_number() over (partition by repo, path, pattern order by line_no)::int place from h) where place <= 25"""
+
+
+# ------------------------------------------------------------ memory, ledger, streams in batch
+def t3_memory(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries of a memory folded from the findings of each file: one entry a file, one event a finding."""
+    r = table(spark, folder, "placeholder_findings").where("repo is not null and file_path is not null")
+    events = r.select(
+        F.concat_ws(":", "repo", "file_path").alias("entry_id"), F.col("indexed_at").cast("timestamp").alias("at"), F.lit("risk").alias("kind"), F.col("signal_id").alias("summary"),
+        F.when(F.col("category") == "no-op-body", "resolved").otherwise("active").alias("status"), F.col("confidence").alias("tier"), F.col("finding_id").cast("string").alias("evidence_id"), F.array("file_path").alias("files"),
+    )
+    out = memory.fold_events(events.distinct())
+    return out.select("entry_id", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"), "status", "tier", F.size("evidence").alias("evidence"), "revisions")
+
+
+SQL["t3_memory"] = """with e as (select distinct repo || ':' || file_path entry_id, indexed_at at_, signal_id, case when category = 'no-op-body' then 'resolved' else 'active' end status, confidence, finding_id::varchar ev from placeholder_findings where repo is not null and file_path is not null and indexed_at is not null)
+    select entry_id, max(at_) updated_at, case when bool_or(status = 'resolved') then 'resolved' else 'active' end status, ['authoritative', 'derived', 'heuristic', 'fallback'][min(case confidence when 'authoritative' then 1 when 'derived' then 2 when 'heuristic' then 3 else 4 end)] tier,
+    least(24, count(distinct ev))::int evidence, count(*) revisions from e group by entry_id"""
+
+
+def t6_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """How many memory entries there are of each status."""
+    return t3_memory(spark, folder).groupBy("status", "tier").agg(F.count("*").alias("n"))
+
+
+SQL["t6_buckets"] = f"select status, tier, count(*) n from ({SQL['t3_memory']}) group by all"
+
+
+def t8_outcome_boost(spark: SparkSession, folder: str) -> DataFrame:
+    """Boosts of focus files by how often tasks planned them, at most 3."""
+    t = facts.tasks(spark, folder)
+    o = t.select(F.col("task_id").alias("outcome_id"), F.explode(F.coalesce("planned", F.array().cast("array<string>"))).alias("path"), F.lit(0.5).alias("amount"))
+    return memory.outcome_boosts(o)
+
+
+SQL["t8_outcome_boost"] = S.facts("tasks") + " select path, least(3.0, count(*) * 0.5)::double boost, count(*) outcomes from (select distinct task_id, unnest(planned) path from tasks) group by path"
+
+
+def t2_signature(spark: SparkSession, folder: str) -> DataFrame:
+    """The signature of the dirty entries of each snapshot's workspace."""
+    d = table(spark, folder, "dirty_files").select(F.col("file_path").alias("path"), F.col("dirty_hash").alias("hash"))
+    return live.signature(d)
+
+
+def v_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """Required checks of all test files, covered by two commands of which one hides its exit."""
+    checks = facts.files(spark, folder).where("is_test").select(F.concat_ws(":", "repo", "path").alias("check_id"), F.lit("test").alias("kind"), "path")
+    reports = spark.createDataFrame([("a", "pytest tests/ -q", 0, "/w"), ("b", "pytest src/ || true", 0, "/w")], "row_id string, command string, exit_code int, cwd string")
+    waivers = checks.where(F.col("path").endswith(".go")).select("check_id")
+    return ledger.ledger(checks, ledger.coverage(reports), waivers)
+
+
+SQL["v_ledger"] = S.facts("files") + " select repo || ':' || path check_id, 'test' kind, path, case when starts_with(path, 'tests/') then 'covered' when ends_with(path, '.go') then 'waived' else 'missing' end state from files where is_test"
+
+
+def e1_scenarios(spark: SparkSession, folder: str) -> DataFrame:
+    """Retrieval scored for every task with planned targets: fused ranks against raw term ranks as the baseline."""
+    t = facts.tasks(spark, folder).where(F.size("planned") > 0).select(F.col("task_id").alias("scenario"), F.array_distinct("planned").alias("expected"))
+    def listed(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(F.col("query").alias("scenario")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "doc"))), lambda x: x["doc"]).alias(name))
+    raw = ranking.top_k(_bm25(spark, folder), ["query"], [F.round("score", 6).desc(), F.col("doc").asc()], 20)
+    none = F.array().cast("array<string>")
+    s = t.join(listed(q1i_fusion(spark, folder), "found"), "scenario", "left").join(listed(raw, "baseline"), "scenario", "left")
+    s = s.select("scenario", "expected", F.coalesce("found", none).alias("found"), F.coalesce("baseline", none).alias("baseline"), none.alias("tests_found"), none.alias("tests_expected"), none.alias("forbidden"), F.lit(0.0).alias("min_recall"))
+    return evaluate.score_scenarios(s)
+
+
+QUERIES = {n: f for n, f in globals().items() if callable(f) and n[0] in "fauwqjgxstve" and (n[1:2].isdigit() or n == "v_ledger")}
