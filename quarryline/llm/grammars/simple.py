@@ -273,7 +273,7 @@ file = inner* item*
 inner = '#' '!' attr
 attrs = ('#' attr)*
 @attr = '[' tree* ']'
-tree = tparen / tbrack / tbrace / !('(' / '[' / '{' / ')' / ']' / '}') .
+tree = tparen / tbrack / tbrace / '$' / !('(' / '[' / '{' / ')' / ']' / '}') .
 @tparen = '(' tree* ')'
 @tbrack = '[' tree* ']'
 @tbrace = '{' tree* '}'
