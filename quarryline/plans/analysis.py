@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import paths as P
 from quarryline.functions import text as X
-from quarryline.operators import changes, evaluate, graph, ledger, memory, ranking, relations, retrieve, scan
+from quarryline.operators import changes, evaluate, graph, ledger, memory, packets, ranking, relations, resolve, retrieve, scan
 from quarryline.plans import facts
 from quarryline.plans import sqlparts as S
 from quarryline.schema import CALLEE_KINDS, CALLER_KINDS, EDGE_ORDER, FUNCTIONAL_WEIGHT, IMPACT_KINDS, ordinal
@@ -823,4 +823,91 @@ def e1_scenarios(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.score_scenarios(s)
 
 
+# ------------------------------------------------------------ linking by text, packets
+def x9_endpoint_references(spark: SparkSession, folder: str) -> DataFrame:
+    """Strings in code that look like routes."""
+    return resolve.endpoint_references(texts(spark, folder))
+
+
+def x10_dotted_references(spark: SparkSession, folder: str) -> DataFrame:
+    """Quoted dotted names in code."""
+    return resolve.dotted_references(texts(spark, folder))
+
+
+def x19_exported_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Names that Python files list as exported."""
+    return resolve.exported_names(texts(spark, folder))
+
+
+def j3_package_files(spark: SparkSession, folder: str) -> DataFrame:
+    """For each import the shallowest source file of the folder in which its target lies."""
+    i = facts.imports(spark, folder).where("resolved is not null").select("import_id", "repo", F.regexp_replace("resolved", r"/?[^/]*$", "").alias("folder"))
+    return resolve.package_files(i, facts.files(spark, folder))
+
+
+SQL["j3_package_files"] = S.facts("files", "imps") + r""", i as (select import_id, repo, regexp_replace(resolved, '/?[^/]*$', '') f from imps where resolved is not null),
+    b as (select d.repo, d.f, x.path, row_number() over (partition by d.repo, d.f order by len(string_split(x.path, '/')), x.path) rn from (select distinct repo, f from i where f <> '') d join files x on x.repo = d.repo and not x.is_test and starts_with(x.path, d.f || '/'))
+    select import_id, b.path target from i join b on b.repo = i.repo and b.f = i.f and rn = 1"""
+
+
+def _context(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Evidence (query, path, confidence, score) of every task: what it plans, focuses on, and what reaches these."""
+    t = facts.tasks(spark, folder)
+    def listed(c: str, confidence: str, score: float) -> DataFrame:
+        return t.select(F.col("task_id").alias("query"), F.explode(F.array_distinct(F.coalesce(c, F.array().cast("array<string>")))).alias("path"), F.lit(confidence).alias("confidence"), F.lit(score).alias("score"))
+    reach = cut(q10_impact(spark, folder)).where("depth > 0")
+    impact = reach.select(F.col("task_id").alias("query"), "path", "confidence", (F.lit(4.0) - F.col("depth")).alias("score"))
+    return {"planned": listed("planned", "authoritative", 10.0), "focus": listed("focus", "derived", 5.0), "impact": impact}
+
+
+def q15_context_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """Evidence on the files of every task merged per file."""
+    return packets.merge_evidence(_context(spark, folder))
+
+
+_EVIDENCE = f"""select task_id, unnest(list_distinct(planned)) path, 'authoritative' confidence, 10.0 score, 'planned' src from (select task_id, planned_edit_targets planned, row_number() over (partition by task_id order by received_at desc) rn from task_snapshots where task_id is not null) where rn = 1
+    union all select task_id, unnest(list_distinct(focus)), 'derived', 5.0, 'focus' from (select task_id, list_transform(coalesce(focus_files, []), lambda f: f.file_path) focus, row_number() over (partition by task_id order by received_at desc) rn from task_snapshots where task_id is not null) where rn = 1
+    union all select task_id, path, confidence, 4.0 - depth, 'impact' from ({SQL["q10_impact"]}) where depth > 0"""
+SQL["q15_context_pack"] = f"""with e as ({_EVIDENCE}) select task_id query, path, ['authoritative', 'derived', 'heuristic'][min({S.ordinal("confidence")}) + 1] tier, sum(score)::double score, string_agg(distinct src, ',' order by src) sources from e group by task_id, path"""
+
+
+def a14_source_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """How many files each source of evidence gave, by their best tier."""
+    each = [df.select("path", "confidence", F.lit(name).alias("source")) for name, df in _context(spark, folder).items()]
+    return packets.source_summary(each[0].unionByName(each[1]).unionByName(each[2]))
+
+
+SQL["a14_source_summary"] = f"""with e as ({_EVIDENCE}), b as (select src, path, min({S.ordinal("confidence")}) t from e group by all)
+    select src as source, count(*) filter (where t = 0) authoritative, count(*) filter (where t = 1) derived, count(*) filter (where t = 2) heuristic from b group by src"""
+
+
+def q25_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """How good the evidence of every task is."""
+    each = [df.select("query", "confidence") for df in _context(spark, folder).values()]
+    return packets.quality(each[0].unionByName(each[1]).unionByName(each[2]))
+
+
+SQL["q25_quality"] = f"""with e as ({_EVIDENCE}), c as (select task_id query, count(*) filter (where confidence = 'authoritative') authoritative, count(*) filter (where confidence = 'derived') derived, count(*) filter (where confidence = 'heuristic') heuristic from e group by all)
+    select *, case when heuristic > authoritative + derived then 'low' when authoritative > 0 then 'high' else 'medium' end as "level" from c"""
+
+
+def q11_fanout(spark: SparkSession, folder: str) -> DataFrame:
+    """What to read first of the files that a change of each task reaches."""
+    r = ranked(spark, folder).select("repo", "path", "is_test", "risk", F.round("rank", 6).alias("rank"))
+    reach = cut(q10_impact(spark, folder)).join(facts.tasks(spark, folder).select("task_id", "repo", "change_type"), "task_id").join(r, KEY)
+    rows = reach.select(F.col("task_id").alias("query"), "path", "change_type", (F.col("depth") == 0).alias("is_target"), "is_test", F.col("confidence").alias("tier"), F.round("risk", 6).alias("risk"), "rank")
+    return packets.split_fanout(rows).select("query", "path", "read_first", "place")
+
+
+def q2_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Files for every task: those that hold its text's longest word literally, then those of best term rank."""
+    t = facts.tasks(spark, folder).where("repo is not null")
+    word = F.element_at(F.array_sort(F.filter(F.split("task_text", r"\W+"), lambda w: F.length(w) >= 6), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), 1)
+    asked = t.where(F.exists(F.split("task_text", r"\W+"), lambda w: F.length(w) >= 6)).select(F.col("task_id").alias("query"), "repo", word.alias("word"))
+    # words of files meet the asked words by equality
+    words = texts(spark, folder).select("repo", "path", F.explode(F.split("text", r"\W+")).alias("word")).where("length(word) >= 6").groupBy("repo", "path", "word").agg(F.count("*").alias("hits"))
+    raw = asked.join(words, ["repo", "word"]).select("query", "path", "hits")
+    return packets.combined_search(raw, _bm25(spark, folder).select("query", F.col("doc").alias("path"), "score"))
+
+
 QUERIES = {n: f for n, f in globals().items() if callable(f) and n[0] in "fauwqjgxstve" and (n[1:2].isdigit() or n == "v_ledger")}

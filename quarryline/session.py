@@ -38,10 +38,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a compressed table into the shared checkpoint folder and go on from there.
 
-    Lost executors cost no replay of what came before, and later reads take only the columns that they need.
+    Lost executors cost no replay of what came before, and later reads take only the columns that they need. The
+    table is deleted when the driver ends.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    place = f"{df.sparkSession.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    sc = df.sparkSession.sparkContext
+    place = f"{sc.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
     df.write.option("compression", "zstd").parquet(place)
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
