@@ -178,3 +178,40 @@ def reexport_bindings(defined: DataFrame, reexports: DataFrame, rounds: int = 8)
     offered = known.join(own.select("scope", "path", "name").distinct(), ["scope", "path", "name"], "left_anti")
     one = offered.groupBy("scope", "path", "name").agg(F.min("symbol_id").alias("symbol_id"), F.max("symbol_id").alias("_o"))
     return one.where("symbol_id = _o").drop("_o")
+
+
+def workflow_traces(entries: DataFrame, edges: DataFrame, tests: DataFrame, per_entry: int = 30, most_tests: int = 8) -> DataFrame:
+    """Steps (workflow, scope, place, kind, path, target) of the workflows that begin at entries.
+
+    ``entries`` has (workflow, scope, path), ``edges`` as dependency_paths takes them, ``tests`` (scope, path, target).
+    From the entry the first ``per_entry`` edges in the order in which they are shown are steps, then those out of
+    their targets; tests that cover a file of the workflow close it.
+    """
+    flow = edges.where(F.col("edge_kind").isin(*FUNCTIONAL_WEIGHT)).where("from_path <> to_path").select("scope", "edge_id", "edge_kind", "confidence", "weight", "from_path", "to_path")
+    first = entries.select("workflow", "scope", F.col("path").alias("from_path")).join(flow, ["scope", "from_path"])
+    first = cut(top_k(first, ["workflow"], edge_order(), per_entry))
+    second = first.select("workflow", "scope", F.col("to_path").alias("from_path")).distinct().join(flow, ["scope", "from_path"])
+    second = second.join(entries.select("workflow", F.col("path").alias("to_path")), ["workflow", "to_path"], "left_anti")
+    second = top_k(second.select(*first.drop("place").columns), ["workflow"], edge_order(), per_entry)
+
+    def steps(df: DataFrame, kind: Column, base: int) -> DataFrame:
+        return df.select("workflow", "scope", (F.col("place") + base).alias("place"), kind.alias("kind"), F.col("from_path").alias("path"), F.col("to_path").alias("target"))
+
+    begin = entries.select("workflow", "scope", F.lit(0).alias("place"), F.lit("entry").alias("kind"), "path", F.lit(None).cast("string").alias("target"))
+    body = begin.unionByName(steps(first, F.lower("edge_kind"), 0)).unionByName(steps(second, F.lower("edge_kind"), per_entry))
+    covered = body.select("workflow", "scope", F.explode(F.array_compact(F.array("path", "target"))).alias("target")).distinct()
+    found = covered.join(tests, ["scope", "target"]).select("workflow", "scope", "path").distinct()
+    last = top_k(found, ["workflow"], [F.col("path").asc()], most_tests)
+    return body.unionByName(last.select("workflow", "scope", (F.col("place") + 2 * per_entry).alias("place"), F.lit("test").alias("kind"), "path", F.lit(None).cast("string").alias("target")))
+
+
+def workflow_summary(steps: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(workflow, scope, steps, files, tests, modules, rank, terminal): of each workflow its size, rank (logs of its
+    files' ranks and two per test) and the files from which no step leads on. ``ranks`` has (scope, path, rank, module)."""
+    touched = steps.select("workflow", "scope", F.explode(F.array_compact(F.array("path", "target"))).alias("path")).distinct().join(ranks, ["scope", "path"])
+    sums = touched.groupBy("workflow", "scope").agg(F.count("*").alias("files"), F.sum(F.log2(F.greatest(F.lit(0.0), F.col("rank")) + 1)).alias("r"), F.countDistinct("module").alias("modules"))
+    counts = steps.groupBy("workflow").agg(F.count("*").alias("steps"), F.count_if(F.col("kind") == "test").alias("tests"))
+    ends = steps.where("target is not null").select("workflow", F.col("target").alias("path")).distinct().join(steps.where("target is not null").select("workflow", "path").distinct(), ["workflow", "path"], "left_anti")
+    terminal = top_k(ends, ["workflow"], [F.col("path").asc()], 8).groupBy("workflow").agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("terminal"))
+    out = sums.join(counts, "workflow").join(terminal, "workflow", "left")
+    return out.select("workflow", "scope", "steps", "files", "tests", "modules", (F.col("r") + 2 * F.col("tests")).alias("rank"), F.coalesce("terminal", F.lit("")).alias("terminal"))

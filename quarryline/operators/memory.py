@@ -99,3 +99,23 @@ def fold_frame(state: dict | None, events: pd.DataFrame) -> dict | None:
     """As ``fold`` over a frame of events, ordered by time and evidence."""
     rows = events.sort_values(["at", "evidence_id"], na_position="first").to_dict("records")
     return fold(state, ({k: (None if not isinstance(v, (list,)) and not hasattr(v, "__len__") and pd.isna(v) else v) for k, v in r.items()} for r in rows))
+
+
+def newest_outcomes(outcomes: DataFrame, head: str | None = None, most: int = 30) -> DataFrame:
+    """Of outcomes (outcome_id, at, head, ...) the last row of each id, those of the commit only where one is given,
+    the newest ``most`` of them."""
+    rest = [c for c in outcomes.columns if c not in ("outcome_id", "at")]
+    once = outcomes.where("outcome_id is not null").groupBy("outcome_id").agg(F.max(F.struct("at", *rest)).alias("o")).select("outcome_id", "o.*")
+    some = once.where(F.col("head") == head) if head is not None else once
+    return some.orderBy(F.col("at").desc_nulls_last(), "outcome_id").limit(most)
+
+
+def compacted(entries: DataFrame) -> DataFrame:
+    """What stays of a log when it is rewritten: entries that are neither resolved nor rejected."""
+    return entries.where(~F.coalesce("status", F.lit("active")).isin("resolved", "rejected"))
+
+
+def needs_compaction(events: DataFrame, most_bytes: int = 512 * 1024, most_lines: int = 200) -> bool:
+    """Whether a log (line) is longer than ``most_lines`` or ``most_bytes``: one row comes to the driver."""
+    n, size = events.agg(F.count("*"), F.sum(F.length("line") + 1)).first()
+    return n > most_lines or (size or 0) > most_bytes

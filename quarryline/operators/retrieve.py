@@ -169,3 +169,43 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int, least: float,
     near = grid.mapInPandas(run, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("vec_id").asc()))
     return near.withColumn("place", place).where(F.col("place") <= k)
+
+
+def covering_lane(queries: DataFrame, files: DataFrame, tested: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(query, scope, doc, score): tests that cover a seed file (20, 16 or 10 by confidence) or match by their path.
+
+    ``tested`` has (repo, path, target, confidence), ``seeds`` (query, scope, doc), the files found so far.
+    """
+    worth = F.when(F.col("confidence") == "authoritative", 20.0).when(F.col("confidence") == "derived", 16.0).otherwise(10.0)
+    edges = tested.select(F.col("repo").alias("scope"), F.col("path").alias("test"), F.col("target").alias("doc"), worth.alias("s"))
+    covering = seeds.select("query", "scope", "doc").distinct().join(edges, ["scope", "doc"]).select("query", "scope", F.col("test").alias("doc"), "s")
+    tests = files.where("is_test").select(F.col("repo").alias("scope"), F.col("path").alias("value"))
+    met = candidates(queries, tests)
+    best = F.greatest(*(match_score(F.col("text"), F.col("terms"), v) for v in (F.col("value"), base_name(F.col("value")))))
+    named = met.withColumn("s", best).where("s > 0").select("query", "scope", F.col("value").alias("doc"), (F.col("s") + 4).alias("s"))
+    return covering.unionByName(named).groupBy("query", "scope", "doc").agg(F.sum("s").alias("score"))
+
+
+def workflow_lane(workflows: DataFrame, steps: DataFrame) -> DataFrame:
+    """(query, scope, doc, score): files of the workflows of each query: entries by rank, steps by their kind, and the
+    targets of steps a little less. ``workflows`` (query, scope, workflow, entry, rank), ``steps`` (workflow, kind,
+    path, target)."""
+    worth = F.coalesce(*(F.when(F.col("kind").isin(*kinds), s) for kinds, s in ((("entry", "ui"), 18.0), (("endpoint",), 16.0), (("store", "adapter", "manifest"), 15.0), (("test",), 12.0))), F.lit(7.0))
+    entries = workflows.select("query", "scope", F.col("entry").alias("doc"), (18 + F.col("rank") * 0.1).alias("s"))
+    met = workflows.select("query", "scope", "workflow").join(steps, "workflow").withColumn("s", worth)
+    own = met.select("query", "scope", F.col("path").alias("doc"), "s")
+    far = met.where("target is not null").select("query", "scope", F.col("target").alias("doc"), F.greatest(F.lit(5.0), F.col("s") - 4).alias("s"))
+    return entries.unionByName(own).unionByName(far).groupBy("query", "scope", "doc").agg(F.sum("s").alias("score"))
+
+
+def chunks(files: DataFrame, symbols: DataFrame, imports: DataFrame, most: int = 80) -> DataFrame:
+    """(repo, path, chunk): the text under which a file is embedded: its path, its first symbols and imports."""
+    def listed(df: DataFrame, value: str, order: list[Column]) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("repo", "path").orderBy(*order))
+        some = df.where(F.col(value).isNotNull()).withColumn("p", place).where(F.col("p") <= most)
+        return some.groupBy("repo", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", value))), lambda x: x[value]), " ").alias(f"{value}s"))
+
+    s = listed(symbols, "name", [F.col("start_line").asc_nulls_last(), F.col("symbol_id").asc()])
+    i = listed(imports, "specifier", [F.col("specifier").asc(), F.col("import_id").asc()])
+    out = files.select("repo", "path").join(s, ["repo", "path"], "left").join(i, ["repo", "path"], "left")
+    return out.select("repo", "path", F.concat_ws("\n", "path", "names", "specifiers").alias("chunk"))

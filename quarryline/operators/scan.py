@@ -141,3 +141,17 @@ def route_endpoints(decorators: DataFrame) -> DataFrame:
     methods = F.when(F.size(listed) > 0, F.transform(listed, lambda m: F.upper(m))).when(verb == "ROUTE", F.array(F.lit("ANY"))).otherwise(F.array(verb))
     endpoint = F.regexp_extract(text, r"\(\s*f?['\"]([^'\"]*)['\"]", 1)
     return decorators.where(verb != "").select("row_id", F.explode(methods).alias("method"), endpoint.alias("endpoint"))
+
+
+def manifests(files: DataFrame) -> DataFrame:
+    """(repo, path, key, value): name, version, and each script and dependency of JSON manifests.
+
+    The JSON is read as a Variant, so fields of another type, or a text that is no JSON, give nothing.
+    """
+    rows = files.where((language_of(F.col("path")) == "json") & F.col("text").isNotNull()).select("repo", "path", F.expr("try_parse_json(text)").alias("v"))
+    def flat(name: str) -> Column:
+        entries = F.map_entries(F.expr(f"try_variant_get(v, '$.{name}', 'map<string, string>')"))
+        return F.transform(F.coalesce(entries, F.array().cast("array<struct<key:string,value:string>>")), lambda e: F.struct(F.concat(F.lit(f"{name}."), e["key"]).alias("key"), e["value"].alias("value")))
+    single = F.array(*(F.struct(F.lit(n).alias("key"), F.expr(f"try_variant_get(v, '$.{n}', 'string')").alias("value")) for n in ("name", "version")))
+    every = F.concat(single, *(flat(n) for n in ("scripts", "dependencies", "devDependencies")))
+    return rows.select("repo", "path", F.explode(every).alias("e")).select("repo", "path", "e.*").where("value is not null")

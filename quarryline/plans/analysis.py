@@ -910,4 +910,102 @@ def q2_search(spark: SparkSession, folder: str) -> DataFrame:
     return packets.combined_search(raw, _bm25(spark, folder).select("query", F.col("doc").alias("path"), "score"))
 
 
-QUERIES = {n: f for n, f in globals().items() if callable(f) and n[0] in "fauwqjgxstve" and (n[1:2].isdigit() or n == "v_ledger")}
+def q6_explain(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every file how many symbols, imports, importers, edges, findings and tests it has."""
+    def count(df: DataFrame, column: str, name: str) -> DataFrame:
+        return df.where(F.col(column).isNotNull()).groupBy("repo", F.col(column).alias("path")).agg(F.count("*").alias(name))
+    i, e = facts.imports(spark, folder), facts.edges(spark, folder)
+    out = facts.files(spark, folder).select(*KEY, "language")
+    sides = [count(facts.symbols(spark, folder), "path", "symbols"), count(i, "path", "imports"), count(i, "resolved", "importers"), count(e, "from_path", "edges_out"), count(e, "to_path", "edges_in"), count(facts.risks(spark, folder), "path", "findings"), count(tested(spark, folder), "target", "tests")]
+    for side in sides:
+        out = out.join(side, KEY, "left")
+    return out.fillna(0)
+
+
+def _n(source: str, column: str) -> str:
+    return f"coalesce((select count(*) from {source} x where x.repo = f.repo and x.{column} = f.path), 0)"
+
+
+SQL["q6_explain"] = S.facts("files", "syms", "imps", "edges", "risks") + f""", {S.TESTED} select repo, path, lang as "language", {_n("syms", "path")} symbols, {_n("imps", "path")} imports, {_n("imps", "resolved")} importers, {_n("edges", "from_path")} edges_out, {_n("edges", "to_path")} edges_in, {_n("risks", "path")} findings, {_n("tested", "target")} tests from files f"""
+
+
+def q12_diff_impact(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that import, or have an impact edge to, each dirty file of a repository, with the best confidence."""
+    known = facts.files(spark, folder)
+    e = facts.edges(spark, folder).where(F.col("edge_kind").isin(IMPACT_KINDS)).where("from_path is not null and to_path is not null")
+    i = facts.imports(spark, folder).where("resolved is not null")
+    links = e.select(F.col("repo").alias("scope"), F.col("from_path").alias("source"), F.col("to_path").alias("target"), "confidence").unionByName(
+        i.select(F.col("repo").alias("scope"), F.col("path").alias("source"), F.col("resolved").alias("target"), F.lit("authoritative").alias("confidence"))
+    ).join(known.select(F.col("repo").alias("scope"), F.col("path").alias("source")), ["scope", "source"], "left_semi")
+    seeds = known.where("dirty").select(F.col("repo").alias("scope"), F.col("path").alias("seed"), F.col("path").alias("node"))
+    return graph.closure(seeds, links, 1).where("depth = 1").select("scope", "seed", "node", "confidence")
+
+
+SQL["q12_diff_impact"] = S.facts("edges", "imps", "files") + f""", l as (select l.repo, l.src, l.dst, min(c) c from (select repo, from_path src, to_path dst, {S.ordinal("confidence")} c from edges where edge_kind in ({_list(IMPACT_KINDS)}) and from_path is not null and to_path is not null
+    union all select repo, path, resolved, 0 from imps where resolved is not null) l join files f on f.repo = l.repo and f.path = l.src group by all)
+    select l.repo "scope", f.path seed, l.src node, ['authoritative', 'derived', 'heuristic'][c + 1] confidence from files f join l on l.repo = f.repo and l.dst = f.path where f.dirty and l.src <> f.path"""
+
+
+def x7_manifests(spark: SparkSession, folder: str) -> DataFrame:
+    """Names, versions, scripts and dependencies of JSON manifests."""
+    return scan.manifests(texts(spark, folder))
+
+
+def x18_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The text under which each file would be embedded."""
+    return retrieve.chunks(facts.files(spark, folder), facts.symbols(spark, folder), facts.imports(spark, folder))
+
+
+SQL["x18_chunks"] = S.facts("files", "syms", "imps") + """, a as (select repo, path, string_agg(name, ' ' order by p) n from (select *, row_number() over (partition by repo, path order by start_line nulls last, symbol_id) p from syms where name is not null) where p <= 80 group by all),
+    b as (select repo, path, string_agg(specifier, ' ' order by p) n from (select *, row_number() over (partition by repo, path order by specifier, import_id) p from imps where specifier is not null) where p <= 80 group by all)
+    select f.repo, f.path, concat_ws(chr(10), f.path, a.n, b.n) chunk from files f left join a on a.repo = f.repo and a.path = f.path left join b on b.repo = f.repo and b.path = f.path"""
+
+
+def _workflow_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """Workflows from the files of routes."""
+    s = facts.symbols(spark, folder).where("kind = 'route' and repo is not null and path is not null")
+    entries = s.select(F.col("symbol_id").alias("workflow"), F.col("repo").alias("scope"), "path")
+    e = facts.edges(spark, folder).withColumnRenamed("repo", "scope")
+    t = tested(spark, folder).select(F.col("repo").alias("scope"), "path", "target")
+    return graph.workflow_traces(entries, e, t)
+
+
+def g3_workflow_traces(spark: SparkSession, folder: str) -> DataFrame:
+    """Steps of the workflows that begin at routes."""
+    return _workflow_steps(spark, folder)
+
+
+def g4_workflow_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Size, rank and ends of these workflows."""
+    r = ranked(spark, folder).select(F.col("repo").alias("scope"), "path", "rank", "module")
+    return graph.workflow_summary(cut(_workflow_steps(spark, folder)), r).withColumn("rank", F.round("rank", 5))
+
+
+def q1f_tests(spark: SparkSession, folder: str) -> DataFrame:
+    """Tests that cover the files of a task's exact lane or match it by name."""
+    q, f = _queries(spark, folder), facts.files(spark, folder)
+    seeds = retrieve.symbol_lane(q, facts.symbols(spark, folder))
+    return retrieve.covering_lane(q, f, tested(spark, folder), seeds).select("query", "doc", F.round("score", 6).alias("score"))
+
+
+# ------------------------------------------------------------ events
+def t_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Events per hour and type."""
+    w = live.windowed(table(spark, folder, "events"), width="1 hour")
+    return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+SQL["t_windows"] = "select date_trunc('hour', ts) as start, event_type, count(*) n, round(sum(value), 4) total from events group by all"
+
+
+def t_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions of users: events less than half an hour apart."""
+    s = live.sessions(table(spark, folder, "events").where("user_id is not null"))
+    return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+SQL["t_sessions"] = """with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end fresh from events where user_id is not null), s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) k from g)
+    select user_id, min(ts) as start, count(*) n from s group by user_id, k"""
+
+
+QUERIES = {n: f for n, f in globals().items() if callable(f) and n[0] in "fauwqjgxstve" and (n[1:2].isdigit() or n in ("v_ledger", "t_windows", "t_sessions"))}

@@ -65,3 +65,57 @@ def test_packets(spark):
     assert packets.fit_tokens(lines, ["query"], [F.col("i").asc()], 300).count() == 3
     assert {r["level"] for r in packets.quality(a).collect()} == {"low"}
     assert resolve.decided(one("a"), (F.col("path") == "b", "no"), (F.col("path") == "a", "yes"), default="x").first().verdict == "yes"
+
+
+def test_workflow_traces(spark):
+    from quarryline.operators import graph
+
+    e = [("s", f"e{i}", k, "derived", w, a, b) for i, (k, w, a, b) in enumerate([("ROUTE_HANDLES", 4.0, "r", "h"), ("CALLS", 2.0, "r", "u"), ("CALLS", 1.0, "h", "store"), ("CALLS", 1.0, "h", "r"), ("RISK", 9.0, "r", "x"), ("CALLS", 1.0, "store", "far")])]
+    edges = spark.createDataFrame(e, "scope string, edge_id string, edge_kind string, confidence string, weight double, from_path string, to_path string")
+    entries = spark.createDataFrame([("w", "s", "r")], "workflow string, scope string, path string")
+    tests = spark.createDataFrame([("s", "t1", "store"), ("s", "t2", "far")], "scope string, path string, target string")
+    steps = graph.workflow_traces(entries, edges, tests)
+    got = [(r.kind, r.path, r.target) for r in steps.orderBy("place").collect()]
+    assert got == [("entry", "r", None), ("route_handles", "r", "h"), ("calls", "r", "u"), ("calls", "h", "store"), ("test", "t1", None)]
+    ranks = spark.createDataFrame([("s", p, 3.0, p[0]) for p in ("r", "h", "u", "store", "t1")], "scope string, path string, rank double, module string")
+    w = graph.workflow_summary(steps, ranks).first()
+    assert (w.steps, w.files, w.tests, w.rank, w.terminal) == (5, 5, 1, 12.0, "store,u")
+
+
+def test_manifests_chunks_and_lanes(spark):
+    from quarryline.operators import retrieve, scan
+
+    files = spark.createDataFrame([("r", "package.json", '{"name": "n", "version": 2, "scripts": {"test": "vitest"}, "dependencies": {"a": "1"}}'), ("r", "x.json", "{"), ("r", "y.json", "[1]"), ("r", "z.json", None)], "repo string, path string, text string")
+    assert sorted((r.key, r.value) for r in scan.manifests(files).collect()) == [("dependencies.a", "1"), ("name", "n"), ("scripts.test", "vitest"), ("version", "2")]
+    s = spark.createDataFrame([("r", "a.ts", "s1", "B", 2), ("r", "a.ts", "s2", "A", 1)], "repo string, path string, symbol_id string, name string, start_line int")
+    i = spark.createDataFrame([("r", "a.ts", "i1", "./x")], "repo string, path string, import_id string, specifier string")
+    f = spark.createDataFrame([("r", "a.ts", False), ("r", "b.test.ts", True)], "repo string, path string, is_test boolean")
+    assert {r.path: r.chunk for r in retrieve.chunks(f, s, i).collect()} == {"a.ts": "a.ts\nA B\n./x", "b.test.ts": "b.test.ts"}
+    q = spark.createDataFrame([("q", "r", "b test", ["test"])], "query string, scope string, text string, terms array<string>")
+    tested = spark.createDataFrame([("r", "b.test.ts", "a.ts", "derived")], "repo string, path string, target string, confidence string")
+    seeds = spark.createDataFrame([("q", "r", "a.ts")], "query string, scope string, doc string")
+    assert [(r.doc, r.score) for r in retrieve.covering_lane(q, f, tested, seeds).collect()] == [("b.test.ts", 16.0 + 14.0)]
+    w = spark.createDataFrame([("q", "r", "w", "e.ts", 10.0)], "query string, scope string, workflow string, entry string, rank double")
+    steps = spark.createDataFrame([("w", "store", "s.ts", "t.ts"), ("w", "other", "t.ts", None)], "workflow string, kind string, path string, target string")
+    assert {r.doc: r.score for r in retrieve.workflow_lane(w, steps).collect()} == {"e.ts": 19.0, "s.ts": 15.0, "t.ts": 18.0}
+
+
+def test_packets_fit_and_snapshots(tmp_path, spark):
+    from quarryline.operators import memory
+    from quarryline.sources import sinks
+
+    packet = {"files": [{"path": "x" * 50, "n": i} for i in range(500)], "note": "y" * 5000, "few": [1, 2]}
+    small = sinks.fit_packet(packet, 3000)
+    assert len(__import__("json").dumps(small)) <= 3200 and small["truncation"]["files"]["total"] == 500 and small["few"] == [1, 2]
+    assert sinks.fit_packet({"a": [1]}, 3000) == {"a": [1]}
+    folder = str(tmp_path / "tasks")
+    assert sinks.load_snapshot(folder) is None
+    sinks.save_snapshot(folder, "task/1", {"planned": ["a"]})
+    (tmp_path / "tasks" / "broken.json").write_text("{")
+    assert sinks.load_snapshot(folder, "task/1")["planned"] == ["a"] and sinks.load_snapshot(folder, "gone") is None
+    o = spark.createDataFrame([("1", 1, "h"), ("1", 2, "h"), ("2", 3, "g"), (None, 9, "h")], "outcome_id string, at int, head string")
+    assert [(r.outcome_id, r.at) for r in memory.newest_outcomes(o).collect()] == [("2", 3), ("1", 2)] and memory.newest_outcomes(o, "h").count() == 1
+    log = spark.createDataFrame([("x",)] * 201, "line string")
+    assert memory.needs_compaction(log) and not memory.needs_compaction(log.limit(5))
+    entries = spark.createDataFrame([("a", "resolved"), ("b", None), ("c", "stale")], "entry_id string, status string")
+    assert sorted(r.entry_id for r in memory.compacted(entries).collect()) == ["b", "c"]
