@@ -80,7 +80,8 @@ def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:
     hot = used.groupBy("ref").agg(F.sum("n").alias("n")).where(F.col("n") > max(total * HOT_SHARE, 10_000)).select("ref")
 
     lives = parents.where("ref is not null and since is not null and (until is null or until > since)")
-    lives = lives.select("ref", "since", "until").distinct()
+    # only keys that are referred to are numbered, so a range holds as many keys as it was planned for
+    lives = lives.select("ref", "since", "until").distinct().join(used.select("ref").distinct(), "ref", "left_semi")
     born, dead = month(F.col("since")), F.coalesce(month(F.col("until")), F.lit(high + 1))
     spans = lives.where((born <= high) & (dead >= low)).select("ref", born.alias("born"), dead.alias("dead"))
     spans = spans.select("ref", "born", "dead", F.explode(F.sequence(F.greatest("born", F.lit(low)), F.least("dead", F.lit(high)))).alias("_period"))
