@@ -114,7 +114,7 @@ def raw_search(files: DataFrame, patterns: list[str], per_file: int = 25, width:
         raise ValueError("at most eight patterns")
     hits = F.filter(F.array(*map(F.lit, patterns)), lambda p: F.contains(F.col("line"), p))
     found = lines_of(files).withColumn("pattern", F.explode(hits)).withColumn("line", F.substring(F.trim("line"), 1, width))
-    return top_k(found, ["repo", "path", "pattern"], [F.col("line_no").asc()], per_file)
+    return top_k(found.distinct(), ["repo", "path", "pattern"], [F.col("line_no").asc()], per_file)
 
 
 def markdown_headings(files: DataFrame) -> DataFrame:

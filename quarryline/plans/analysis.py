@@ -695,9 +695,10 @@ SQL["q3_repo_map"] = _RANKED + """, t as (select *, row_number() over (partition
 
 # ------------------------------------------------------------ text of files
 def texts(spark: SparkSession, folder: str) -> DataFrame:
-    """(repo, path, text) of files with text, each once."""
+    """(repo, path, text) of files with text, as delivered: texts are not shuffled to drop the repeated ones, but what
+    is found in them is made distinct."""
     raw = table(spark, folder, "source_files").where("repo is not null and file_path is not null and source_text is not null")
-    return raw.groupBy("repo", F.col("file_path").alias("path")).agg(F.max("source_text").alias("text"))
+    return raw.select("repo", F.col("file_path").alias("path"), F.col("source_text").alias("text"))
 
 
 _TEXTS = "with x as (select repo, file_path path, max(source_text) text from source_files where repo is not null and file_path is not null and source_text is not null group by all)"
@@ -705,7 +706,7 @@ _TEXTS = "with x as (select repo, file_path path, max(source_text) text from sou
 
 def x6_headings(spark: SparkSession, folder: str) -> DataFrame:
     """Headings of the documents."""
-    return scan.markdown_headings(texts(spark, folder))
+    return scan.markdown_headings(texts(spark, folder)).distinct()
 
 
 SQL["x6_headings"] = _TEXTS + r""", l as (select repo, path, unnest(string_split_regex(text, '\r?\n')) line, generate_subscripts(string_split_regex(text, '\r?\n'), 1) line_no from x where regexp_matches(lower(path), '\.(md|mdx|rst|txt)$'))
@@ -727,7 +728,7 @@ SQL["x11_path_risks"] = S.facts("files") + f""" select repo, path, 'public-surfa
 
 def x12_pattern_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Matches of the rules on code, the first five of each file and rule."""
-    return scan.pattern_hits(texts(spark, folder))
+    return scan.pattern_hits(texts(spark, folder)).distinct()
 
 
 def _rule_sql(rule: str, score: float, pattern: str, languages: str, where: str) -> str:
@@ -746,7 +747,7 @@ def x13_placeholders(spark: SparkSession, folder: str) -> DataFrame:
 
 def x2_extracted(spark: SparkSession, folder: str) -> DataFrame:
     """Symbols, imports and usages of all files of languages with an extractor, by kind and file."""
-    return extract_facts(texts(spark, folder)).groupBy("repo", "path", "fact", "kind").agg(F.count("*").alias("n"))
+    return extract_facts(texts(spark, folder)).distinct().groupBy("repo", "path", "fact", "kind").agg(F.count("*").alias("n"))
 
 
 def s24_raw_search(spark: SparkSession, folder: str) -> DataFrame:
@@ -826,17 +827,17 @@ def e1_scenarios(spark: SparkSession, folder: str) -> DataFrame:
 # ------------------------------------------------------------ linking by text, packets
 def x9_endpoint_references(spark: SparkSession, folder: str) -> DataFrame:
     """Strings in code that look like routes."""
-    return resolve.endpoint_references(texts(spark, folder))
+    return resolve.endpoint_references(texts(spark, folder)).distinct()
 
 
 def x10_dotted_references(spark: SparkSession, folder: str) -> DataFrame:
     """Quoted dotted names in code."""
-    return resolve.dotted_references(texts(spark, folder))
+    return resolve.dotted_references(texts(spark, folder)).distinct()
 
 
 def x19_exported_names(spark: SparkSession, folder: str) -> DataFrame:
     """Names that Python files list as exported."""
-    return resolve.exported_names(texts(spark, folder))
+    return resolve.exported_names(texts(spark, folder)).distinct()
 
 
 def j3_package_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -905,7 +906,8 @@ def q2_search(spark: SparkSession, folder: str) -> DataFrame:
     word = F.element_at(F.array_sort(F.filter(F.split("task_text", r"\W+"), lambda w: F.length(w) >= 6), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), 1)
     asked = t.where(F.exists(F.split("task_text", r"\W+"), lambda w: F.length(w) >= 6)).select(F.col("task_id").alias("query"), "repo", word.alias("word"))
     # words of files meet the asked words by equality
-    words = texts(spark, folder).select("repo", "path", F.explode(F.split("text", r"\W+")).alias("word")).where("length(word) >= 6").groupBy("repo", "path", "word").agg(F.count("*").alias("hits"))
+    lines = scan.lines_of(texts(spark, folder)).select("repo", "path", "line_no", F.explode(F.array_distinct(F.split("line", r"\W+"))).alias("word"))
+    words = lines.where("length(word) >= 6").distinct().groupBy("repo", "path", "word").agg(F.count("*").alias("hits"))
     raw = asked.join(words, ["repo", "word"]).select("query", "path", "hits")
     return packets.combined_search(raw, _bm25(spark, folder).select("query", F.col("doc").alias("path"), "score"))
 
@@ -948,7 +950,7 @@ SQL["q12_diff_impact"] = S.facts("edges", "imps", "files") + f""", l as (select
 
 def x7_manifests(spark: SparkSession, folder: str) -> DataFrame:
     """Names, versions, scripts and dependencies of JSON manifests."""
-    return scan.manifests(texts(spark, folder))
+    return scan.manifests(texts(spark, folder)).distinct()
 
 
 def x18_chunks(spark: SparkSession, folder: str) -> DataFrame:
