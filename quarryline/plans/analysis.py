@@ -22,7 +22,7 @@ SQL: dict[str, str] = {}
 def tested(spark: SparkSession, folder: str) -> DataFrame:
     """(repo, path, target, confidence): tests that import a file of their repository."""
     known = facts.files(spark, folder)
-    i = facts.imports(spark, folder).where("not type_only and resolved is not null")
+    i = facts.imports(spark, folder, ("repo", "path", "type_only", "resolved")).where("not type_only and resolved is not null")
     i = i.join(known.where("is_test").select(*KEY), KEY, "left_semi")
     i = i.join(known.select("repo", F.col("path").alias("resolved")), ["repo", "resolved"], "left_semi")
     return i.select("repo", "path", F.col("resolved").alias("target"), F.lit("authoritative").alias("confidence")).distinct()
@@ -30,8 +30,8 @@ def tested(spark: SparkSession, folder: str) -> DataFrame:
 
 def ranked(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.composite_rank(
-        facts.files(spark, folder), facts.imports(spark, folder), facts.symbols(spark, folder), facts.risks(spark, folder),
-        tested(spark, folder).select("repo", F.col("target").alias("path")),
+        facts.files(spark, folder), facts.imports(spark, folder, ("repo", "path", "resolved")), facts.symbols(spark, folder, ("repo", "path")),
+        facts.risks(spark, folder, ("repo", "path")), tested(spark, folder).select("repo", F.col("target").alias("path")),
     )
 
 
@@ -99,7 +99,7 @@ SQL["f10_match_score"] = S.facts("tasks") + f""", e as (select task_id, task_tex
 # ------------------------------------------------------------ aggregation
 def a1_in_degree(spark: SparkSession, folder: str) -> DataFrame:
     """How many imports lead to each file."""
-    i = facts.imports(spark, folder).where("resolved is not null")
+    i = facts.imports(spark, folder, ("repo", "resolved")).where("resolved is not null")
     return ranking.count_by(i, ["repo", "resolved"], "importers")
 
 
@@ -108,7 +108,7 @@ SQL["a1_in_degree"] = S.facts("imps") + " select repo, resolved, count(*) import
 
 def a2_risk_sum(spark: SparkSession, folder: str) -> DataFrame:
     """Sum and number of the findings of each file."""
-    return facts.risks(spark, folder).groupBy(*KEY).agg(F.round(F.sum("score"), 6).alias("risk"), F.count("*").alias("findings"))
+    return facts.risks(spark, folder, ("repo", "path")).groupBy(*KEY).agg(F.round(F.sum("score"), 6).alias("risk"), F.count("*").alias("findings"))
 
 
 SQL["a2_risk_sum"] = S.facts("risks") + " select repo, path, round(sum(score), 6) risk, count(*) findings from risks group by all"
@@ -141,7 +141,7 @@ SQL["a5_module_rollup"] = _RANKED + f""", {S.EDGES}, r as (select repo, path, mo
 
 def a6_evidence_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of edges by confidence and by source, as text, for each kind."""
-    e = facts.edges(spark, folder)
+    e = facts.edges(spark, folder, ("edge_kind", "confidence", "fact_source"))
     c = ranking.counts_map(e, ["edge_kind"], "confidence").withColumnRenamed("counts", "confidences")
     return c.join(ranking.counts_map(e, ["edge_kind"], "fact_source").withColumnRenamed("counts", "sources"), "edge_kind")
 
@@ -176,7 +176,7 @@ SQL["a8_placeholder_summary"] = S.facts("risks") + """, c as (select repo, path,
 
 def a14_tier_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Edges by confidence for each repository and kind."""
-    return ranking.tier_counts(facts.edges(spark, folder), ["repo", "edge_kind"])
+    return ranking.tier_counts(facts.edges(spark, folder, ("repo", "edge_kind", "confidence")), ["repo", "edge_kind"])
 
 
 SQL["a14_tier_counts"] = S.facts("edges") + " select repo, edge_kind, count_if(confidence = 'authoritative')::bigint authoritative, count_if(confidence = 'derived')::bigint derived, count_if(confidence = 'heuristic')::bigint heuristic from edges group by all"
@@ -184,7 +184,7 @@ SQL["a14_tier_counts"] = S.facts("edges") + " select repo, edge_kind, count_if(c
 
 def a17_weight_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Nearest-rank median and 95th percentile of edge weights by kind."""
-    return facts.edges(spark, folder).groupBy("edge_kind").agg(F.expr("percentile_disc(0.5) within group (order by weight)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by weight)").alias("p95"))
+    return facts.edges(spark, folder, ("edge_kind", "weight")).groupBy("edge_kind").agg(F.expr("percentile_disc(0.5) within group (order by weight)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by weight)").alias("p95"))
 
 
 SQL["a17_weight_percentiles"] = S.facts("edges") + " select edge_kind, quantile_disc(weight, 0.5) p50, quantile_disc(weight, 0.95) p95 from edges group by all"
@@ -425,7 +425,7 @@ def q10_impact(spark: SparkSession, folder: str) -> DataFrame:
     """Files that a change of each task's planned targets reaches: within 2 steps for interface changes, else 1."""
     t = facts.tasks(spark, folder)
     e = facts.edges(spark, folder).where(F.col("edge_kind").isin(IMPACT_KINDS)).where("from_path is not null and to_path is not null")
-    i = facts.imports(spark, folder).where("resolved is not null")
+    i = facts.imports(spark, folder, ("repo", "path", "resolved")).where("resolved is not null")
     known = facts.files(spark, folder).select(F.col("repo").alias("scope"), F.col("path").alias("source"))
     links = e.select(F.col("repo").alias("scope"), F.col("from_path").alias("source"), F.col("to_path").alias("target"), "confidence")
     links = links.unionByName(i.select(F.col("repo").alias("scope"), F.col("path").alias("source"), F.col("resolved").alias("target"), F.lit("authoritative").alias("confidence")))
@@ -492,7 +492,7 @@ SQL["g6_neighbourhoods"] = _RANKED + f""", {S.EDGES}, r as (select repo, path, m
 def g8_centrality(spark: SparkSession, folder: str) -> DataFrame:
     """Importance of files passed along imports, within each repository."""
     nodes = facts.files(spark, folder).select(F.col("repo").alias("scope"), F.col("path").alias("node"))
-    links = facts.imports(spark, folder).where("resolved is not null").select(F.col("repo").alias("scope"), F.col("path").alias("source"), F.col("resolved").alias("target"))
+    links = facts.imports(spark, folder, ("repo", "path", "resolved")).where("resolved is not null").select(F.col("repo").alias("scope"), F.col("path").alias("source"), F.col("resolved").alias("target"))
     c = ranking.centrality(nodes, links)
     return c.select("scope", "node", F.round("score", 9).alias("score"), F.round("part", 6).alias("part"))
 
@@ -516,7 +516,7 @@ def g10_diffusion(spark: SparkSession, folder: str) -> DataFrame:
 
 def g11_notable_symbols(spark: SparkSession, folder: str) -> DataFrame:
     """The 80 most notable symbols of each repository: rank of the file, uses, exported, kind."""
-    uses = facts.edges(spark, folder).where("to_symbol is not null").groupBy(F.col("to_symbol").alias("symbol_id")).agg(F.count("*").alias("uses"))
+    uses = facts.edges(spark, folder, ("to_symbol",)).where("to_symbol is not null").groupBy(F.col("to_symbol").alias("symbol_id")).agg(F.count("*").alias("uses"))
     s = facts.symbols(spark, folder).join(ranked(spark, folder).select(*KEY, F.round("rank", 6).alias("rank")), KEY).join(uses, "symbol_id", "left")
     score = F.col("rank") + F.log2(F.coalesce("uses", F.lit(0)) + 1) + F.when(F.col("exported"), 2.0).otherwise(0.0) + F.when(F.col("kind").isin("class", "function", "method", "route"), 1.0).otherwise(0.0)
     s = s.withColumn("score", F.round(score, 6))
@@ -935,7 +935,7 @@ def q12_diff_impact(spark: SparkSession, folder: str) -> DataFrame:
     """Files that import, or have an impact edge to, each dirty file of a repository, with the best confidence."""
     known = facts.files(spark, folder)
     e = facts.edges(spark, folder).where(F.col("edge_kind").isin(IMPACT_KINDS)).where("from_path is not null and to_path is not null")
-    i = facts.imports(spark, folder).where("resolved is not null")
+    i = facts.imports(spark, folder, ("repo", "path", "resolved")).where("resolved is not null")
     links = e.select(F.col("repo").alias("scope"), F.col("from_path").alias("source"), F.col("to_path").alias("target"), "confidence").unionByName(
         i.select(F.col("repo").alias("scope"), F.col("path").alias("source"), F.col("resolved").alias("target"), F.lit("authoritative").alias("confidence"))
     ).join(known.select(F.col("repo").alias("scope"), F.col("path").alias("source")), ["scope", "source"], "left_semi")

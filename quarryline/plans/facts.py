@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions import paths as P
@@ -10,6 +10,14 @@ from quarryline.functions.paths import normal_path, strip_text
 from quarryline.session import table
 
 
+def _once(raw: DataFrame, key: str, order: list[str], fields: dict[str, Column], only: tuple[str, ...] | None) -> DataFrame:
+    """The greatest row of each key by ``order`` and then the fields; of these ``only`` some where given, so that the
+    scan reads no other columns. Rows delivered repeatedly are equal, so it doesn't matter which fields decide."""
+    kept = [c.alias(n) for n, c in fields.items() if only is None or n in only]
+    row = F.max(F.struct(*(F.col(o).alias(f"_{o}") for o in order), *kept)).alias("_r")
+    return raw.groupBy(key).agg(row).select(key, "_r.*").drop(*(f"_{o}" for o in order))
+
+
 def files(spark: SparkSession, folder: str) -> DataFrame:
     """(repo, path, file_id, language, is_test, generated, dirty, size_bytes), one row per file."""
     raw = table(spark, folder, "source_files").where("repo is not null and file_path is not null")
@@ -20,46 +28,51 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     return once.withColumns({"language": P.language_of(p), "is_test": P.is_test(p), "generated": P.is_generated(p), "module": P.module_of(p)})
 
 
-def symbols(spark: SparkSession, folder: str) -> DataFrame:
+def symbols(spark: SparkSession, folder: str, only: tuple[str, ...] | None = None) -> DataFrame:
     """(symbol_id, repo, path, name, qualified_name, kind, exported, start_line, end_line): the latest row of each."""
     raw = table(spark, folder, "symbols").where("symbol_id is not null")
-    fields = F.struct(
-        "indexed_at", "repo", F.col("file_path").alias("path"), F.col("sym_name").alias("name"), "qualified_name", F.col("sym_kind").alias("kind"),
-        F.coalesce("is_exported", F.lit(False)).alias("exported"), "start_line", "end_line",
-    )
-    return raw.groupBy("symbol_id").agg(F.max(fields).alias("s")).select("symbol_id", "s.*").drop("indexed_at")
+    c = F.col
+    fields = {
+        "repo": c("repo"), "path": c("file_path"), "name": c("sym_name"), "qualified_name": c("qualified_name"), "kind": c("sym_kind"),
+        "exported": F.coalesce("is_exported", F.lit(False)), "start_line": c("start_line"), "end_line": c("end_line"),
+    }
+    return _once(raw, "symbol_id", ["indexed_at"], fields, only)
 
 
-def edges(spark: SparkSession, folder: str) -> DataFrame:
+def edges(spark: SparkSession, folder: str, only: tuple[str, ...] | None = None) -> DataFrame:
     """(edge_id, repo, edge_kind, from_path, to_path, from_symbol, to_symbol, confidence, weight), each edge once."""
-    def symbol(c: str) -> F.Column:
+    def symbol(c: str) -> Column:
         return F.nullif(F.lower(strip_text(F.col(c))), F.lit(""))
     raw = table(spark, folder, "graph_edges").where("edge_id is not null")
-    row = F.struct(
-        "repo", "edge_kind", "from_path", "to_path", symbol("from_symbol_id").alias("from_symbol"), symbol("to_symbol_id").alias("to_symbol"),
-        "confidence", F.coalesce("weight", F.lit(0.0)).alias("weight"), "fact_source",
-    )
-    return raw.groupBy("edge_id").agg(F.max(row).alias("e")).select("edge_id", "e.*")
+    c = F.col
+    fields = {
+        "repo": c("repo"), "edge_kind": c("edge_kind"), "from_path": c("from_path"), "to_path": c("to_path"), "from_symbol": symbol("from_symbol_id"), "to_symbol": symbol("to_symbol_id"),
+        "confidence": c("confidence"), "weight": F.coalesce("weight", F.lit(0.0)), "fact_source": c("fact_source"),
+    }
+    return _once(raw, "edge_id", [], fields, only)
 
 
-def imports(spark: SparkSession, folder: str) -> DataFrame:
-    """(import_id, repo, path, specifier, imported_name, local_name, type_only, resolved), each import once."""
+def imports(spark: SparkSession, folder: str, only: tuple[str, ...] | None = None) -> DataFrame:
+    """(import_id, repo, path, specifier, imported_name, local_name, type_only, re_export, resolved), each import once."""
     raw = table(spark, folder, "import_edges").where("import_id is not null")
-    row = F.struct(
-        "repo", normal_path(F.col("file_path")).alias("path"), "specifier", "imported_name", "local_name", F.coalesce("is_type_only", F.lit(False)).alias("type_only"),
-        F.coalesce("is_re_export", F.lit(False)).alias("re_export"), F.nullif(normal_path(strip_text(F.col("resolved_path"))), F.lit("")).alias("resolved"),
-    )
-    return raw.groupBy("import_id").agg(F.max(row).alias("i")).select("import_id", "i.*")
+    c = F.col
+    fields = {
+        "repo": c("repo"), "path": normal_path(c("file_path")), "specifier": c("specifier"), "imported_name": c("imported_name"), "local_name": c("local_name"),
+        "type_only": F.coalesce("is_type_only", F.lit(False)), "re_export": F.coalesce("is_re_export", F.lit(False)), "resolved": F.nullif(normal_path(strip_text(c("resolved_path"))), F.lit("")),
+    }
+    return _once(raw, "import_id", [], fields, only)
 
 
-def risks(spark: SparkSession, folder: str) -> DataFrame:
-    """(finding_id, repo, path, line_no, signal_id, category, score, confidence, context): the latest row of each."""
+def risks(spark: SparkSession, folder: str, only: tuple[str, ...] | None = None) -> DataFrame:
+    """(finding_id, score, repo, path, line_no, signal_id, category, confidence, fact_source, context): the latest row
+    of each, of several at that time the one with the greatest score."""
     raw = table(spark, folder, "placeholder_findings").where("finding_id is not null and repo is not null and file_path is not null")
-    row = F.struct(
-        "indexed_at", F.when(~F.isnan("score"), F.col("score")).alias("score"), "repo", F.col("file_path").alias("path"), "line_no", "signal_id", "category",
-        "confidence", "fact_source", F.col("finding_ctx").alias("context"),
-    )
-    return raw.groupBy("finding_id").agg(F.max(row).alias("r")).select("finding_id", "r.*")
+    c = F.col
+    fields = {
+        "score": F.when(~F.isnan("score"), c("score")), "repo": c("repo"), "path": c("file_path"), "line_no": c("line_no"), "signal_id": c("signal_id"), "category": c("category"),
+        "confidence": c("confidence"), "fact_source": c("fact_source"), "context": c("finding_ctx"),
+    }
+    return _once(raw, "finding_id", ["indexed_at"], fields, None if only is None else ("score", *only))
 
 
 def tasks(spark: SparkSession, folder: str) -> DataFrame:

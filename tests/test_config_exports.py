@@ -78,7 +78,7 @@ def test_scans_read_only_what_they_need(spark):
     def plan(df):
         return df._jdf.queryExecution().executedPlan().toString()
     imports = plan(analysis.a1_in_degree(spark, folder))
-    assert "specifier" in imports or "resolved_path" in imports
+    assert "specifier" not in imports and "resolved_path" in imports
     symbols = plan(analysis.w8_latest_wins(spark, folder))
     assert "qualified_name" not in symbols and "IsNotNull(symbol_id)" in symbols
     tokens = plan(analysis.f7_token_doc_freq(spark, folder))
