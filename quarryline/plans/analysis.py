@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import paths as P
 from quarryline.functions import text as X
-from quarryline.operators import changes, evaluate, graph, ledger, memory, packets, ranking, relations, resolve, retrieve, scan
+from quarryline.operators import changes, evaluate, exports, graph, ledger, memory, packets, ranking, relations, resolve, retrieve, scan
 from quarryline.plans import facts
 from quarryline.plans import sqlparts as S
 from quarryline.schema import CALLEE_KINDS, CALLER_KINDS, EDGE_ORDER, FUNCTIONAL_WEIGHT, IMPACT_KINDS, ordinal
 from quarryline.session import cut, table
+from quarryline.sources import config
 from quarryline.sources.extract import extract_facts
 from quarryline.streaming import live
 
@@ -990,6 +991,52 @@ def q1f_tests(spark: SparkSession, folder: str) -> DataFrame:
     return retrieve.covering_lane(q, f, tested(spark, folder), seeds).select("query", "doc", F.round("score", 6).alias("score"))
 
 
+def g9_graph_export(spark: SparkSession, folder: str) -> DataFrame:
+    """The heaviest edges between the files of highest rank of every repository."""
+    _, edges = exports.graph_export(ranked(spark, folder), facts.edges(spark, folder))
+    return edges
+
+
+SQL["g9_graph_export"] = _RANKED + f""", {S.EDGES}, n as (select * from (select repo, path, module, row_number() over (partition by repo order by round(rank, 6) desc, path) pl from ranked) where pl <= 180),
+    b as (select e.repo, edge_id, edge_kind, from_path, to_path, weight, row_number() over (partition by e.repo order by weight desc, edge_id) pl from edges e join n x on x.repo = e.repo and x.path = e.from_path join n y on y.repo = e.repo and y.path = e.to_path)
+    select repo, edge_id, edge_kind, from_path, to_path, weight from b where pl <= 600 union all select repo, module || ':' || path, 'CONTAINS', module, path, 1.0 from n"""
+
+
+def q30_edge_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 60 edges out of every file, with what makes them weak."""
+    e = facts.edges(spark, folder).where("from_path is not null")
+    return exports.edge_evidence(e, ["repo", "from_path"]).select("repo", "from_path", "edge_id", "degraded", "place")
+
+
+SQL["q30_edge_evidence"] = S.facts("edges") + f" select repo, from_path, edge_id, coalesce(confidence = 'heuristic' or fact_source = 'heuristic', true) degraded, place from (select *, row_number() over (partition by repo, from_path order by {_ORDER})::int place from edges where from_path is not null) where place <= 60"
+
+
+def j13_key_match(spark: SparkSession, folder: str) -> DataFrame:
+    """For each imported name the symbol of its repository that is most like it by its parts."""
+    i = facts.imports(spark, folder, ("repo", "imported_name")).where("imported_name is not null")
+    keys = i.select(F.concat_ws(":", "repo", "imported_name").alias("key_id"), F.col("repo").alias("scope"), F.col("imported_name").alias("key"), F.lit("").alias("folder")).distinct()
+    s = facts.symbols(spark, folder, ("repo", "path", "name")).where("name is not null")
+    names = s.groupBy(F.col("repo").alias("scope"), "name").agg(F.min("symbol_id").alias("candidate_id")).withColumn("folder", F.lit("x"))
+    return exports.best_key_match(keys, names)
+
+
+def s23_aliases(spark: SparkSession, folder: str) -> DataFrame:
+    """Import aliases that configuration files define."""
+    return config.import_aliases(texts(spark, folder))
+
+
+def q22_reconciled_tests(spark: SparkSession, folder: str) -> DataFrame:
+    """Recommended tests of every task against those that it planned to edit."""
+    t = facts.tasks(spark, folder)
+    ran = t.select("task_id", F.explode(F.coalesce("planned", F.array().cast("array<string>"))).alias("path"))
+    planned = q13_recommend_tests(spark, folder).select("task_id", F.col("test").alias("path"), F.when(F.col("tier") < 2, "derived").otherwise("heuristic").alias("confidence"))
+    return exports.reconciled_tests(planned, ran).select("task_id", "path", "state")
+
+
+SQL["q22_reconciled_tests"] = f"""with r as (select distinct task_id, unnest(planned_edit_targets) path from task_snapshots where task_id is not null), p as ({SQL["q13_recommend_tests"]})
+    select p.task_id, p.test path, case when r.path is null then 'missing' when tier >= 2 then 'degraded' else 'trusted' end state from p left join r on r.task_id = p.task_id and r.path = p.test"""
+
+
 # ------------------------------------------------------------ events
 def t_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Events per hour and type."""
