@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -89,10 +89,10 @@ def buckets(entries: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     return some.groupBy("kind", "status").agg(F.count("*").alias("n"), F.max_by("entry_id", F.struct("updated_at", "entry_id")).alias("newest"))
 
 
-def outcome_boosts(outcomes: DataFrame) -> DataFrame:
-    """(path, boost, outcomes) from (outcome_id, path, amount): each outcome once, sums of at most MOST_BOOST."""
-    once = outcomes.groupBy("outcome_id", "path").agg(F.max("amount").alias("amount"))
-    return once.groupBy("path").agg(F.least(F.lit(MOST_BOOST), F.sum("amount")).alias("boost"), F.count("*").alias("outcomes"))
+def outcome_boosts(outcomes: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
+    """(keys, boost, outcomes) from (outcome_id, keys, amount): each outcome once, sums of at most MOST_BOOST."""
+    once = outcomes.groupBy("outcome_id", *keys).agg(F.max("amount").alias("amount"))
+    return once.groupBy(*keys).agg(F.least(F.lit(MOST_BOOST), F.sum("amount")).alias("boost"), F.count("*").alias("outcomes"))
 
 
 def fold_frame(state: dict | None, events: pd.DataFrame) -> dict | None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from quarryline.sources.extract import extract_facts
 from quarryline.streaming import live
 
 KEY = ["repo", "path"]
+#: First directories that are too broad to be a package.
+BROAD_ROOTS = "api backend server service src web tests scripts".split()
 SQL: dict[str, str] = {}
 
 
@@ -36,6 +40,13 @@ def ranked(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def planned_boosts(spark: SparkSession, folder: str) -> DataFrame:
+    """(repo, path, boost, outcomes): as t8_outcome_boost, per repository; the tables hold no other outcomes than plans."""
+    t = facts.tasks(spark, folder)
+    o = t.select("repo", F.col("task_id").alias("outcome_id"), F.explode(F.coalesce("planned", F.array().cast("array<string>"))).alias("path"), F.lit(0.5).alias("amount"))
+    return memory.outcome_boosts(o, KEY)
+
+
 # ------------------------------------------------------------ functions
 def f1_stable_id(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of files and symbols."""
@@ -618,20 +629,32 @@ SQL["a10_maxpool"] = f"select query_id, label, max(score) best from ({SQL['q1d_v
 
 # ------------------------------------------------------------ recommendation and reports
 def q13_recommend_tests(spark: SparkSession, folder: str) -> DataFrame:
-    """Tests for the planned targets of every task: direct (5), planned tests (4), tests of importers (4), same name (2)."""
+    """Tests for the planned targets of every task: direct (5), planned tests (4), tests that import a target within two
+    steps (4), tests of files so reached (4), imports of a Python target's package (3), same name (2), and the outcome
+    boost of each (at most 3). A source counts once per task and test."""
     t = facts.tasks(spark, folder)
     targets = t.select("task_id", "repo", F.explode(F.coalesce("planned", F.array().cast("array<string>"))).alias("target")).distinct()
     edges = tested(spark, folder)
     f = facts.files(spark, folder).where("is_test").select("repo", F.col("path").alias("test"))
-    direct = targets.join(edges, ["repo", "target"]).select("task_id", F.col("path").alias("test"), F.lit(5.0).alias("score"), "confidence")
-    own = targets.join(f.withColumnRenamed("test", "target"), ["repo", "target"], "left_semi").select("task_id", F.col("target").alias("test"), F.lit(4.0).alias("score"), F.lit("authoritative").alias("confidence"))
-    i = facts.imports(spark, folder).where("resolved is not null and not type_only").select("repo", F.col("path").alias("importer"), F.col("resolved").alias("target")).distinct()
-    far = targets.join(i, ["repo", "target"]).select("task_id", "repo", F.col("importer").alias("target")).distinct().join(edges, ["repo", "target"])
-    far = far.select("task_id", F.col("path").alias("test"), F.lit(4.0).alias("score"), F.lit("derived").alias("confidence")).distinct()
+    direct = targets.join(edges, ["repo", "target"]).select("task_id", "repo", F.col("path").alias("test"), F.lit(5.0).alias("score"), "confidence")
+    own = targets.join(f.withColumnRenamed("test", "target"), ["repo", "target"], "left_semi").select("task_id", "repo", F.col("target").alias("test"), F.lit(4.0).alias("score"), F.lit("authoritative").alias("confidence"))
+    i = facts.imports(spark, folder, ("repo", "path", "specifier", "resolved"))
+    links = i.where("resolved is not null").select(F.col("repo").alias("scope"), F.col("path").alias("source"), F.col("resolved").alias("target"), F.lit("authoritative").alias("confidence"))
+    seeds = targets.select(F.col("repo").alias("scope"), F.col("task_id").alias("seed"), F.col("target").alias("node"))
+    reached = graph.closure(seeds, links, 2).select(F.col("seed").alias("task_id"), F.col("scope").alias("repo"), F.col("node").alias("target"))
+    above = reached.join(f.withColumnRenamed("test", "target"), ["repo", "target"], "left_semi").select("task_id", "repo", F.col("target").alias("test"), F.lit(4.0).alias("score"), F.lit("authoritative").alias("confidence"))
+    far = reached.join(edges, ["repo", "target"]).select("task_id", "repo", F.col("path").alias("test"), F.lit(4.0).alias("score"), F.lit("derived").alias("confidence"))
     named = j8_test_targets(spark, folder).where("target is not null").join(targets, ["repo", "target"])
-    named = named.select("task_id", F.col("path").alias("test"), F.lit(2.0).alias("score"), F.lit("heuristic").alias("confidence")).distinct()
-    every = direct.distinct().unionByName(own.distinct()).unionByName(far).unionByName(named)
-    return every.groupBy("task_id", "test").agg(F.sum("score").alias("score"), F.min(ordinal(F.col("confidence"))).alias("tier"))
+    named = named.select("task_id", "repo", F.col("path").alias("test"), F.lit(2.0).alias("score"), F.lit("heuristic").alias("confidence"))
+    root = F.split("target", "/")[0]
+    roots = targets.where(F.col("target").endswith(".py") & (root != "") & ~root.isin(*BROAD_ROOTS)).select("task_id", "repo", root.alias("root")).distinct()
+    used = i.where(P.is_test(F.col("path"))).select("repo", F.col("path").alias("test"), F.regexp_replace("specifier", r"^\.+", "").alias("package")).distinct()
+    met = roots.select("repo", "root").distinct().join(used, "repo").where(F.col("package").startswith(F.col("root"))).select("repo", "root", "test").distinct()
+    packaged = roots.join(met, ["repo", "root"]).select("task_id", "repo", "test", F.lit(3.0).alias("score"), F.lit("derived").alias("confidence"))
+    every = reduce(DataFrame.unionByName, [x.distinct() for x in (direct, own, above, far, named, packaged)])
+    sums = every.groupBy("task_id", "repo", "test").agg(F.sum("score").alias("score"), F.min(ordinal(F.col("confidence"))).alias("tier"))
+    boosts = planned_boosts(spark, folder).select("repo", F.col("path").alias("test"), "boost")
+    return sums.join(boosts, ["repo", "test"], "left").select("task_id", "test", (F.col("score") + F.coalesce("boost", F.lit(0.0))).alias("score"), "tier")
 
 
 SQL["q13_recommend_tests"] = S.facts("files", "imps", "tasks") + f""", {S.TESTED}, tg as (select distinct task_id, repo, target from (select task_id, repo, unnest(planned) target from tasks)),
