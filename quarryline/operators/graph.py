@@ -9,31 +9,53 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.text import stable_id
 from quarryline.operators.ranking import top_k
+from quarryline.operators.resolve import imported_symbols
 from quarryline.schema import CONFIDENCE_WEIGHT, FUNCTIONAL_WEIGHT, PATH_KINDS, REVERSIBLE_KINDS, confidence_of, edge_order, lookup, ordinal
 from quarryline.session import cut
 
 
-def typed_edges(symbols: DataFrame, imports: DataFrame, files: DataFrame, tests: DataFrame, risks: DataFrame) -> DataFrame:
+def typed_edges(symbols: DataFrame, imports: DataFrame, files: DataFrame, tests: DataFrame, risks: DataFrame, usages: DataFrame | None = None, jobs: DataFrame | None = None) -> DataFrame:
     """Edges (edge_id, repo, edge_kind, from_path, to_path, from_symbol, to_symbol, confidence, weight) from facts.
 
-    A file defines its symbols (3) and exports the exported (2.8); imports of known files (3, type-only ones give
-    none); test edges (3); risks (their score, at least .5). Equal edges occur once.
+    A file defines its symbols (3) and exports the exported (2.8; interfaces, types and enums as types), routes (4) and
+    jobs (4, symbols of ``jobs``); imports of known files (3) and of the exported symbol that they name (3.2), type-only
+    ones give none; imported symbols are referenced (2). ``usages`` (repo, path, kind, from_symbol, to_path, to_symbol,
+    confidence) give calls (2.5), references (1.5), extends and implements (2.5). Test edges (3), also as covered
+    workflows (2.8); risks (their score, at least .5). Equal edges occur once.
     """
     none = F.lit(None).cast("string")
     known = files.select("repo", F.col("path").alias("resolved"))
-    named = symbols.select("repo", "path", "symbol_id", "exported")
+    named = symbols.select("repo", "path", "symbol_id", "kind", "exported")
 
-    def edge(df: DataFrame, kind: str, to_path: Column, symbol: Column, confidence: Column, weight: Column) -> DataFrame:
-        return df.select("repo", F.lit(kind).alias("edge_kind"), F.col("path").alias("from_path"), to_path.alias("to_path"), none.alias("from_symbol"), symbol.alias("to_symbol"), confidence.alias("confidence"), weight.cast("double").alias("weight"))
+    def edge(df: DataFrame, kind: str, to_path: Column, symbol: Column, confidence: Column, weight: Column, source: Column = none) -> DataFrame:
+        return df.select("repo", F.lit(kind).alias("edge_kind"), F.col("path").alias("from_path"), to_path.alias("to_path"), source.alias("from_symbol"), symbol.alias("to_symbol"), confidence.alias("confidence"), weight.cast("double").alias("weight"))
 
-    sure = F.lit("authoritative")
+    sure, own = F.lit("authoritative"), (F.col("path"), F.col("symbol_id"))
+    is_type = F.col("kind").isin("interface", "type", "enum")
+    bound = imported_symbols(imports.join(known, ["repo", "resolved"], "left_semi"), symbols)
+    target = (F.col("resolved"), F.col("to_symbol"))
     parts = [
-        edge(named, "DEFINES", F.col("path"), F.col("symbol_id"), sure, F.lit(3.0)),
-        edge(named.where("exported"), "EXPORTS", F.col("path"), F.col("symbol_id"), sure, F.lit(2.8)),
+        edge(named, "DEFINES", *own, sure, F.lit(3.0)),
+        edge(named.where("exported").where(~F.coalesce(is_type, F.lit(False))), "EXPORTS", *own, sure, F.lit(2.8)),
+        edge(named.where("exported").where(is_type), "TYPE_EXPORTS", *own, sure, F.lit(2.8)),
+        edge(named.where("kind = 'route'"), "ROUTE", *own, sure, F.lit(4.0)),
         edge(imports.where("not type_only").join(known, ["repo", "resolved"], "left_semi"), "IMPORTS", F.col("resolved"), none, sure, F.lit(3.0)),
+        edge(bound.where("not type_only"), "IMPORTS", *target, sure, F.lit(3.2)),
+        edge(bound, "REFERENCES", *target, sure, F.lit(2.0)),
         edge(tests, "TESTS", F.col("target"), none, F.col("confidence"), F.lit(3.0)),
+        edge(tests, "TEST_COVERS_WORKFLOW", F.col("target"), none, F.col("confidence"), F.lit(2.8)),
         edge(risks, "RISK", F.col("path"), F.col("signal_id"), F.coalesce("confidence", F.lit("heuristic")), F.greatest(F.lit(0.5), F.coalesce("score", F.lit(0.0)))),
     ]
+    if jobs is not None:
+        parts.append(edge(jobs, "JOB", *own, F.lit("heuristic"), F.lit(4.0)))
+    if usages is not None:
+        used = (F.col("to_path"), F.col("to_symbol"), F.col("confidence"))
+        parts += [
+            edge(usages.where("kind = 'call'"), "CALLS", *used, F.lit(2.5), F.col("from_symbol")),
+            edge(usages.where("kind <> 'call'"), "REFERENCES", *used, F.lit(1.5), F.col("from_symbol")),
+            edge(usages.where("kind = 'extends'"), "EXTENDS", *used, F.lit(2.5), F.col("from_symbol")),
+            edge(usages.where("kind = 'implements'"), "IMPLEMENTS", *used, F.lit(2.5), F.col("from_symbol")),
+        ]
     every = reduce(DataFrame.unionByName, parts)
     keys = ["repo", "edge_kind", "from_path", "to_path", "from_symbol", "to_symbol"]
     once = every.groupBy(*keys).agg(F.min(ordinal(F.col("confidence"))).alias("_c"), F.max("weight").alias("weight"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.paths import ancestors, language_of
 from quarryline.operators.ranking import top_k
-from quarryline.operators.relations import endpoint_key, unique_or_none
+from quarryline.operators.relations import endpoint_key, narrowest, overlapping, unique_or_none
 from quarryline.operators.scan import lines_of
 
 #: How many handlers an endpoint reference is linked to at most.
@@ -50,6 +50,46 @@ def member_targets(usages: DataFrame, bindings: DataFrame, symbols: DataFrame) -
     return dotted.join(bound, ["repo", "path", "local_name"]).join(own, ["repo", "resolved", "member"]).select("usage_id", "symbol_id")
 
 
+def imported_symbols(imports: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(repo, path, resolved, local_name, type_only, to_symbol): imports with the exported symbol of the resolved file
+    that they name, by its name or qualified name (``default`` by its name only), the first of it where there are more."""
+    own = symbols.where("exported").select("repo", F.col("path").alias("resolved"), "name", "qualified_name", "start_line", "symbol_id")
+    names = F.array_distinct(F.array_compact(F.array("name", F.when(F.col("qualified_name") != "default", F.col("qualified_name")))))
+    first = own.withColumn("imported_name", F.explode(names)).groupBy("repo", "resolved", "imported_name").agg(F.min_by("symbol_id", F.struct(F.coalesce("start_line", F.lit(0)), F.col("symbol_id"))).alias("to_symbol"))
+    some = imports.where("resolved is not null and imported_name <> '*'")
+    return some.join(first, ["repo", "resolved", "imported_name"]).select("repo", "path", "resolved", F.coalesce("local_name", "imported_name").alias("local_name"), "type_only", "to_symbol")
+
+
+def usage_targets(usages: DataFrame, imports: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(repo, path, kind, from_symbol, to_path, to_symbol, confidence): usages (usage_id, repo, path, name, kind, line)
+    whose name means one symbol.
+
+    A plain name is a symbol of its own file, else what the file imports by that name; ``a.b`` is looked up in the file
+    that ``a`` is bound to. A usage comes from the narrowest symbol around its line, and from its file where there is none.
+    """
+    at = symbols.select("repo", F.col("path").alias("to_path"), F.col("symbol_id").alias("to_symbol"))
+    own = unique_or_none(symbols.where("kind <> 'module'").select("repo", "path", "name", "symbol_id"), ["repo", "path", "name"], "symbol_id")
+    bound = unique_or_none(imported_symbols(imports, symbols).select("repo", "path", F.col("local_name").alias("name"), "to_symbol"), ["repo", "path", "name"], "to_symbol")
+    here = usages.join(own, ["repo", "path", "name"]).select("usage_id", F.col("symbol_id").alias("to_symbol"))
+    there = usages.join(bound, ["repo", "path", "name"]).join(here, "usage_id", "left_anti").select("usage_id", "to_symbol")
+    member = member_targets(usages.select("usage_id", "repo", "path", "name"), imports.select("repo", "path", "local_name", "resolved"), symbols).select("usage_id", F.col("symbol_id").alias("to_symbol"))
+    lines = usages.select("repo", "path", "usage_id", F.col("line").alias("a_from"), F.col("line").alias("a_to"))
+    ranges = symbols.where("kind <> 'module'").select("repo", "path", "symbol_id", F.col("start_line").alias("b_from"), F.col("end_line").alias("b_to"))
+    around = narrowest(overlapping(lines, ranges, ["repo", "path"]), "usage_id", "b_from", "b_to", "symbol_id")
+    found = here.unionByName(there).unionByName(member).join(usages, "usage_id").join(around, "usage_id", "left").join(at, ["repo", "to_symbol"])
+    return found.select("repo", "path", "kind", F.col("enclosing").alias("from_symbol"), "to_path", "to_symbol", F.lit("derived").alias("confidence"))
+
+
+def job_symbols(extracted: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(repo, path, symbol_id): symbols with a decorator that speaks of tasks, jobs or workers. ``extracted`` are facts of
+    texts; a decorator belongs to the definition that follows it."""
+    after = Window.partitionBy("repo", "path").orderBy(F.col("start_line"), F.when(F.col("fact") == "usage", 0).otherwise(1)).rowsBetween(1, Window.unboundedFollowing)
+    some = extracted.where("fact = 'symbol' and kind in ('class', 'function', 'method', 'test') or kind = 'decorator'").distinct()
+    each = some.withColumn("defined", F.first(F.when(F.col("fact") == "symbol", F.col("name")), ignorenulls=True).over(after))
+    jobs = each.where("kind = 'decorator'").where(F.lower("specifier").rlike("task|job|worker|celery|rq")).select("repo", "path", F.col("defined").alias("name")).distinct()
+    return symbols.select("repo", "path", "name", "symbol_id").join(jobs, ["repo", "path", "name"], "left_semi").select("repo", "path", "symbol_id")
+
+
 def package_files(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(import_id, target): the shallowest source file of the folder that an import of a package folder names.
 

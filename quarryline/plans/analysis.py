@@ -396,8 +396,13 @@ SQL["j25_longest_prefix"] = S.facts("files") + """, p as (select distinct array_
 
 # ------------------------------------------------------------ graph
 def g1_typed_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """Edges built from the facts."""
-    e = graph.typed_edges(facts.symbols(spark, folder), facts.imports(spark, folder), facts.files(spark, folder), tested(spark, folder), facts.risks(spark, folder))
+    """Edges built from the facts, with usages and jobs from the texts (only the Python extractor gives usages)."""
+    s, i = facts.symbols(spark, folder), facts.imports(spark, folder)
+    met = cut(extract_facts(texts(spark, folder).where(P.language_of(F.col("path")) == "python")).where("fact = 'usage' or fact = 'symbol' and kind in ('class', 'function', 'method', 'test')").distinct())
+    name = F.when(F.col("kind") == "decorator", F.col("name")).otherwise(F.col("qualified_name"))
+    u = met.where("fact = 'usage'").select("repo", "path", name.alias("name"), "kind", F.col("start_line").alias("line")).distinct()
+    u = u.withColumn("usage_id", X.stable_id(F.lit("usage"), "repo", "path", "name", "kind", "line"))
+    e = graph.typed_edges(s, i, facts.files(spark, folder), tested(spark, folder), facts.risks(spark, folder), resolve.usage_targets(u, i, s), resolve.job_symbols(met, s))
     return e.withColumn("weight", F.round("weight", 6))
 
 

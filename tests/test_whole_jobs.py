@@ -39,3 +39,25 @@ def test_tests_of_importers_within_two_steps(spark, tables):
     # test_b is two steps above a and tests b; test_c tests c, two steps above a, and was planned once; test_d is too far
     want = {("t", "tests/test_b.py"): (8.0, 0), ("t", "tests/test_c.py"): (4.5, 1), ("t", "tests/test_p.py"): (3.0, 1), ("u", "tests/test_c.py"): (8.5, 0)}
     assert got == want
+
+
+def test_edges_of_every_kind_with_facts(spark, tables):
+    code = "@app.task\ndef run():\n    helper()\n    other.far()\n\n\nclass Sub(Base):\n    pass\n"
+    symbols = [("s1", "a.py", "run", "function", 2, 4), ("s2", "a.py", "Sub", "class", 7, 8), ("s3", "b.py", "helper", "function", 1, 2), ("s4", "b.py", "Base", "class", 3, 4), ("s5", "c.py", "far", "route", 1, 2), ("s6", "c.py", "Shape", "interface", 3, 4)]
+    folder = tables(
+        source_files=[dict(file_id=n, repo="r", file_path=p, source_text=t) for n, (p, t) in enumerate([("a.py", code), ("b.py", ""), ("c.py", ""), ("test_b.py", "")])],
+        symbols=[dict(symbol_id=i, repo="r", file_path=p, sym_name=n, qualified_name=n, sym_kind=k, is_exported=True, start_line=x, end_line=y, indexed_at=AT) for i, p, n, k, x, y in symbols],
+        import_edges=[
+            dict(import_id="1", repo="r", file_path="a.py", specifier="b", imported_name="helper", resolved_path="b.py"), dict(import_id="2", repo="r", file_path="a.py", specifier="b", imported_name="Base", resolved_path="b.py", is_type_only=True),
+            dict(import_id="3", repo="r", file_path="a.py", specifier="c", imported_name="*", local_name="other", resolved_path="c.py"), dict(import_id="4", repo="r", file_path="test_b.py", specifier="b", resolved_path="b.py"),
+        ],
+        placeholder_findings=[],
+    )
+    got = {(r.edge_kind, r.from_path, r.from_symbol, r.to_path, r.to_symbol): r.weight for r in analysis.g1_typed_edges(spark, folder).collect() if r.edge_kind != "DEFINES"}
+    want = {("EXPORTS", p, None, p, i): 2.8 for i, p, _, k, *_ in symbols if k != "interface"} | {
+        ("TYPE_EXPORTS", "c.py", None, "c.py", "s6"): 2.8, ("ROUTE", "c.py", None, "c.py", "s5"): 4.0, ("JOB", "a.py", None, "a.py", "s1"): 4.0,
+        ("IMPORTS", "a.py", None, "b.py", None): 3.0, ("IMPORTS", "a.py", None, "c.py", None): 3.0, ("IMPORTS", "test_b.py", None, "b.py", None): 3.0, ("IMPORTS", "a.py", None, "b.py", "s3"): 3.2,
+        ("REFERENCES", "a.py", None, "b.py", "s3"): 2.0, ("REFERENCES", "a.py", None, "b.py", "s4"): 2.0, ("REFERENCES", "a.py", "s2", "b.py", "s4"): 1.5, ("EXTENDS", "a.py", "s2", "b.py", "s4"): 2.5,
+        ("CALLS", "a.py", "s1", "b.py", "s3"): 2.5, ("CALLS", "a.py", "s1", "c.py", "s5"): 2.5, ("TESTS", "test_b.py", None, "b.py", None): 3.0, ("TEST_COVERS_WORKFLOW", "test_b.py", None, "b.py", None): 2.8,
+    }
+    assert got == want
