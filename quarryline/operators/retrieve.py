@@ -81,14 +81,25 @@ def exact_lane(queries: DataFrame, files: DataFrame) -> DataFrame:
     return met.withColumn("score", best).where("score >= 6").select("query", "scope", doc.alias("doc"), (F.col("score") + 8).alias("score"))
 
 
-def symbol_lane(queries: DataFrame, symbols: DataFrame) -> DataFrame:
+def symbol_lane(queries: DataFrame, symbols: DataFrame, imports: DataFrame | None = None, usages: DataFrame | None = None) -> DataFrame:
     """(query, scope, doc, score): per file the sum over its symbols that match by name, qualified name or path, 4
-    more for exported ones, 1 for others. Distinct values are scored once."""
-    s = symbols.select(F.col("repo").alias("scope"), F.col("path").alias("doc"), "symbol_id", "exported", F.explode(F.array_distinct(F.array_compact(F.array("name", "qualified_name", "path")))).alias("value"))
+    more for exported ones, 1 for others; over its imports that match by specifier, imported, local or resolved name, 1
+    more; and over its usages (repo, path, name, text, n) that match by name, text or path, 1 less, but no less than 0.
+    Distinct values are scored once."""
+    def valued(df: DataFrame, item: Column, add: Column, n: Column, *values: str) -> DataFrame:
+        some = F.array_distinct(F.array_compact(F.array(*values)))
+        return df.select(F.col("repo").alias("scope"), F.col("path").alias("doc"), item.alias("item"), add.alias("add"), n.alias("n"), F.explode(some).alias("value"))
+
+    parts = [valued(symbols, F.concat(F.lit("s"), "symbol_id"), F.when(F.col("exported"), 4.0).otherwise(1.0), F.lit(1).cast("long"), "name", "qualified_name", "path")]
+    if imports is not None:
+        parts.append(valued(imports, F.concat(F.lit("i"), "import_id"), F.lit(1.0), F.lit(1).cast("long"), "specifier", "imported_name", "local_name", "resolved"))
+    if usages is not None:
+        parts.append(valued(usages, F.concat_ws("\0", F.lit("u"), "name", "text"), F.lit(-1.0), F.col("n"), "name", "text", "path"))
+    s = reduce(DataFrame.unionByName, parts)
     scored = candidates(queries, s).withColumn("one", match_score(F.col("text"), F.col("terms"), F.col("value"))).where("one > 0")
     met = scored.select("query", "scope", "value", "one").join(s, ["scope", "value"])
-    best = met.groupBy("query", "scope", "doc", "symbol_id", "exported").agg(F.max("one").alias("one"))
-    return best.groupBy("query", "scope", "doc").agg(F.sum(F.col("one") + F.when(F.col("exported"), 4.0).otherwise(1.0)).alias("score"))
+    best = met.groupBy("query", "scope", "doc", "item", "add", "n").agg(F.max("one").alias("one"))
+    return best.groupBy("query", "scope", "doc").agg(F.sum(F.col("n") * F.greatest(F.lit(0.0), F.col("one") + F.col("add"))).alias("score")).where("score > 0")
 
 
 def dirty_lane(queries: DataFrame, files: DataFrame) -> DataFrame:

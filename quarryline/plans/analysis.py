@@ -586,9 +586,23 @@ SQL["q1b_exact"] = S.facts("files", "tasks") + f""", q as (select task_id, repo,
     select task_id query, path doc, (x + 8)::double score from m where x >= 6"""
 
 
+def used_names(spark: SparkSession, folder: str) -> DataFrame:
+    """(repo, path, name, text, n): on how many lines a file uses a name, from the texts (only the Python extractor gives
+    usages), and how many imports bind it."""
+    met = extract_facts(texts(spark, folder).where(P.language_of(F.col("path")) == "python")).where("fact = 'usage'")
+    text = F.when(F.col("specifier") == "", F.col("qualified_name")).otherwise(F.col("specifier"))
+    own = met.select("repo", "path", "name", text.alias("text"), "kind", "start_line").distinct().select("repo", "path", "name", "text")
+    i = facts.imports(spark, folder).select("repo", "path", F.coalesce("local_name", "imported_name", "specifier").alias("name"))
+    return own.unionByName(i.where("name is not null").withColumn("text", F.col("name"))).groupBy("repo", "path", "name", "text").agg(F.count("*").alias("n"))
+
+
+def _symbol_lane(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieve.symbol_lane(_queries(spark, folder), facts.symbols(spark, folder), facts.imports(spark, folder), cut(used_names(spark, folder)))
+
+
 def q1c_symbols(spark: SparkSession, folder: str) -> DataFrame:
-    """Files whose symbols match the task, with the sum of their scores."""
-    return retrieve.symbol_lane(_queries(spark, folder), facts.symbols(spark, folder)).select("query", "doc", F.round("score", 6).alias("score"))
+    """Files whose symbols, imports or usages match the task, with the sum of their scores."""
+    return _symbol_lane(spark, folder).select("query", "doc", F.round("score", 6).alias("score"))
 
 
 SQL["q1c_symbols"] = S.facts("syms", "tasks") + f""", q as (select task_id, repo, task_text, {S.expanded("task_text")} terms from tasks where repo is not null),
@@ -603,7 +617,7 @@ def q1i_fusion(spark: SparkSession, folder: str) -> DataFrame:
     r = ranked(spark, folder)
     ranks = r.select(F.col("repo").alias("scope"), F.col("path").alias("doc"), "rank")
     ranks = cut(ranks)
-    lanes = {"exact": retrieve.exact_lane(q, r), "symbol": retrieve.symbol_lane(q, facts.symbols(spark, folder)), "bm25": _bm25(spark, folder).drop("matched"), "dirty": retrieve.dirty_lane(q, r)}
+    lanes = {"exact": retrieve.exact_lane(q, r), "symbol": _symbol_lane(spark, folder), "bm25": _bm25(spark, folder).drop("matched"), "dirty": retrieve.dirty_lane(q, r)}
     lanes = {name: cut(lane) for name, lane in lanes.items()}  # the fusion reads them twice
     first = retrieve.fuse(lanes, ranks)
     lanes["graph"] = retrieve.graph_lane(first, facts.imports(spark, folder), facts.edges(spark, folder))
@@ -1015,7 +1029,7 @@ def g4_workflow_summary(spark: SparkSession, folder: str) -> DataFrame:
 def q1f_tests(spark: SparkSession, folder: str) -> DataFrame:
     """Tests that cover the files of a task's exact lane or match it by name."""
     q, f = _queries(spark, folder), facts.files(spark, folder)
-    seeds = retrieve.symbol_lane(q, facts.symbols(spark, folder))
+    seeds = _symbol_lane(spark, folder)
     return retrieve.covering_lane(q, f, tested(spark, folder), seeds).select("query", "doc", F.round("score", 6).alias("score"))
 
 

@@ -61,3 +61,15 @@ def test_edges_of_every_kind_with_facts(spark, tables):
         ("CALLS", "a.py", "s1", "b.py", "s3"): 2.5, ("CALLS", "a.py", "s1", "c.py", "s5"): 2.5, ("TESTS", "test_b.py", None, "b.py", None): 3.0, ("TEST_COVERS_WORKFLOW", "test_b.py", None, "b.py", None): 2.8,
     }
     assert got == want
+
+
+def test_symbol_lane_counts_imports_and_usages(spark, tables):
+    folder = tables(
+        task_snapshots=[dict(task_id="t", repo="r", received_at=AT, task_text="quota planner")],
+        symbols=[dict(symbol_id="s", repo="r", file_path="a.py", sym_name="planner", qualified_name="planner", sym_kind="function", indexed_at=AT)],
+        import_edges=[dict(import_id="1", repo="r", file_path="b.go", specifier="quota", imported_name="zzz"), dict(import_id="2", repo="r", file_path="d.go", specifier="yyy")],
+        source_files=[dict(file_id=1, repo="r", file_path="c.py", source_text="planner()\nplanner()\nxxx()\n")],
+    )
+    got = {r.doc: r.score for r in analysis.q1c_symbols(spark, folder).collect()}
+    # one of two terms scores 2: a symbol 2 + 1, an import 2 + 1 (its bound name matches nothing), two usages 2 * (2 - 1)
+    assert got == {"a.py": 3.0, "b.go": 3.0, "c.py": 2.0}
