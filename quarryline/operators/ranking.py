@@ -14,8 +14,15 @@ def count_by(rows: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias(name))
 
 
-def composite_rank(files: DataFrame, imports: DataFrame, symbols: DataFrame, risks: DataFrame, tested: DataFrame) -> DataFrame:
-    """Files with the parts of their rank and the rank: importers and symbols (damped), surface, tests, dirt, risk.
+def composite_rank(
+    files: DataFrame, imports: DataFrame, symbols: DataFrame, risks: DataFrame, tested: DataFrame,
+    usages: DataFrame | None = None, churn: DataFrame | None = None, outcomes: DataFrame | None = None,
+) -> DataFrame:
+    """Files with the parts of their rank and the rank: importers, usages and symbols (damped), surface, tests, dirt,
+    churn, risk, outcomes.
+
+    ``usages`` has a row (repo, path) for each place where a file uses a symbol, ``churn`` (repo, path, commits),
+    ``outcomes`` (repo, path, boost); without one its part is 0.
 
     Each fact table is counted per (repo, path) before it meets the files, so a hub is one row. Files without facts
     get zeros; facts of unknown files are ignored.
@@ -26,18 +33,24 @@ def composite_rank(files: DataFrame, imports: DataFrame, symbols: DataFrame, ris
     risk = risks.groupBy(*key).agg(F.sum("score").alias("risk"))
     covered = tested.select(*key).distinct().withColumn("covered", F.lit(True))
     wide = files
-    for side in (incoming, outgoing, syms, risk, covered):
+    extra = {"used": None if usages is None else count_by(usages, key, "used"), "commits": None if churn is None else churn.groupBy(*key).agg(F.sum("commits").alias("commits")),
+             "boost": None if outcomes is None else outcomes.groupBy(*key).agg(F.max("boost").alias("boost"))}
+    for side in (incoming, outgoing, syms, risk, covered, *(x for x in extra.values() if x is not None)):
         wide = wide.join(side, key, "left")
-    wide = wide.fillna(0, ["importers", "imported", "symbols"]).fillna(0.0, ["risk"])
+    wide = wide.withColumns({name: F.lit(0) for name, x in extra.items() if x is None})
+    wide = wide.fillna(0, ["importers", "imported", "symbols", "used", "commits"]).fillna(0.0, ["risk", "boost"])
     path = F.col("path")
     parts = {
         "centrality": F.log2(F.col("importers") + 1),
+        "usage": F.log2(F.col("used") + 1),
         "symbol_part": F.least(F.col("symbols"), F.lit(20)) / 4,
         "surface": F.when(path.contains("/api/") | path.contains("app.") | path.contains("index."), 2.0).otherwise(0.0),
         "near_tests": F.when(F.col("is_test"), 0.5).when(F.col("covered"), 1.5).otherwise(0.0),
         "dirt": F.when(F.col("dirty"), 3.0).otherwise(0.0),
         "risk_part": F.least(F.col("risk"), F.lit(12.0)),
         "made": F.when(F.col("generated"), -2.0).otherwise(0.0),
+        "churn": F.least(F.col("commits"), F.lit(20)) / 4,
+        "outcome": F.least(F.col("boost"), F.lit(3.0)).cast("double"),
     }
     wide = wide.withColumns(parts)
     total = F.lit(0.0)

@@ -34,9 +34,12 @@ def tested(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ranked(spark: SparkSession, folder: str) -> DataFrame:
+    """Files with their rank. A usage is a call or reference out of a file; no table tells churn."""
+    e = facts.edges(spark, folder, ("repo", "edge_kind", "from_path")).where("edge_kind in ('CALLS', 'REFERENCES') and from_path is not null")
     return ranking.composite_rank(
         facts.files(spark, folder), facts.imports(spark, folder, ("repo", "path", "resolved")), facts.symbols(spark, folder, ("repo", "path")),
         facts.risks(spark, folder, ("repo", "path")), tested(spark, folder).select("repo", F.col("target").alias("path")),
+        usages=e.select("repo", F.col("from_path").alias("path")), outcomes=planned_boosts(spark, folder).select("repo", "path", "boost"),
     )
 
 
@@ -128,7 +131,7 @@ SQL["a2_risk_sum"] = S.facts("risks") + " select repo, path, round(sum(score), 6
 
 def a3_composite_rank(spark: SparkSession, folder: str) -> DataFrame:
     """The rank of every file and its parts."""
-    parts = ("centrality", "symbol_part", "surface", "near_tests", "dirt", "risk_part", "made", "rank")
+    parts = ("centrality", "symbol_part", "surface", "near_tests", "dirt", "risk_part", "made", "usage", "churn", "outcome", "rank")
     return ranked(spark, folder).select(*KEY, *(F.round(p, 6).alias(p) for p in parts))
 
 

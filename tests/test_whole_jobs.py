@@ -5,6 +5,7 @@ from pathlib import Path
 
 import pytest
 
+from quarryline.operators import ranking
 from quarryline.plans import analysis
 
 SMALL = Path("/root/testdata/sf0.001")
@@ -73,3 +74,17 @@ def test_symbol_lane_counts_imports_and_usages(spark, tables):
     got = {r.doc: r.score for r in analysis.q1c_symbols(spark, folder).collect()}
     # one of two terms scores 2: a symbol 2 + 1, an import 2 + 1 (its bound name matches nothing), two usages 2 * (2 - 1)
     assert got == {"a.py": 3.0, "b.go": 3.0, "c.py": 2.0}
+
+
+def test_rank_has_usages_churn_and_outcomes(spark, tables):
+    calls = [dict(edge_id=str(n), repo="r", edge_kind=k, from_path="a.py", to_path="b.py") for n, k in enumerate(["CALLS", "CALLS", "REFERENCES", "IMPORTS"])]
+    folder = tables(
+        source_files=[dict(file_id=n, repo="r", file_path=p) for n, p in enumerate(["a.py", "b.py"])], import_edges=[], symbols=[], placeholder_findings=[], graph_edges=calls,
+        task_snapshots=[dict(task_id=str(n), repo=r, received_at=AT, planned_edit_targets=["b.py"]) for n, r in enumerate("r" * 7 + "s")],
+    )
+    got = {r.path: (r.usage, r.churn, r.outcome, r["rank"]) for r in analysis.a3_composite_rank(spark, folder).collect()}
+    assert got == {"a.py": (2.0, 0.0, 0.0, 2.0), "b.py": (0.0, 0.0, 3.0, 3.0)}
+    files = spark.createDataFrame([("r", "a.py", False, False, False)], "repo string, path string, is_test boolean, dirty boolean, generated boolean")
+    none = spark.createDataFrame([], "repo string, path string, resolved string, score double")
+    log = spark.createDataFrame([("r", "a.py", 6), ("r", "a.py", 4)], "repo string, path string, commits int")
+    assert ranking.composite_rank(files, none, none, none, none, churn=log).first()["rank"] == 2.5
