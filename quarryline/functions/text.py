@@ -138,3 +138,12 @@ def cosine(a: Column, b: Column) -> Column:
     """The cosine of two vectors; 0 where one has no length."""
     size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
+
+
+def raw_search_terms(text: Column, most: int = 6) -> Column:
+    """The longest ``most`` terms of 3 or more characters to search a text's subject literally, each once."""
+    longest = F.array_sort(
+        F.filter(F.split(text, "[^A-Za-z0-9_.@/-]+"), lambda w: F.length(w) >= 3),
+        lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0),
+    )
+    return F.array_distinct(F.slice(longest, 1, most))

@@ -947,14 +947,10 @@ def q11_fanout(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q2_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Files for every task: those that hold its text's longest word literally, then those of best term rank."""
+    """Files for every task: those that hold one of its text's search terms literally, then those of best term rank."""
     t = facts.tasks(spark, folder).where("repo is not null")
-    word = F.element_at(F.array_sort(F.filter(F.split("task_text", r"\W+"), lambda w: F.length(w) >= 6), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), 1)
-    asked = t.where(F.exists(F.split("task_text", r"\W+"), lambda w: F.length(w) >= 6)).select(F.col("task_id").alias("query"), "repo", word.alias("word"))
-    # words of files meet the asked words by equality
-    lines = scan.lines_of(texts(spark, folder)).select("repo", "path", "line_no", F.explode(F.array_distinct(F.split("line", r"\W+"))).alias("word"))
-    words = lines.where("length(word) >= 6").distinct().groupBy("repo", "path", "word").agg(F.count("*").alias("hits"))
-    raw = asked.join(words, ["repo", "word"]).select("query", "path", "hits")
+    asked = t.select(F.col("task_id").alias("query"), "repo", F.explode(X.raw_search_terms(F.col("task_text"))).alias("term"))
+    raw = scan.literal_hits(texts(spark, folder), asked)
     return packets.combined_search(raw, _bm25(spark, folder).select("query", F.col("doc").alias("path"), "score"))
 
 

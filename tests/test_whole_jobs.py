@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from quarryline.operators import ranking
+from quarryline.operators import ranking, scan
 from quarryline.plans import analysis
 
 SMALL = Path("/root/testdata/sf0.001")
@@ -88,3 +88,17 @@ def test_rank_has_usages_churn_and_outcomes(spark, tables):
     none = spark.createDataFrame([], "repo string, path string, resolved string, score double")
     log = spark.createDataFrame([("r", "a.py", 6), ("r", "a.py", 4)], "repo string, path string, commits int")
     assert ranking.composite_rank(files, none, none, none, none, churn=log).first()["rank"] == 2.5
+
+
+def test_search_takes_every_term_also_inside_words(spark, tables):
+    text = {"a.py": "x = preloadBar()\n", "b.py": "the tax\n" * 30, "c.py": "nothing\n", "d.py": "fix it\nload tax\n"}
+    folder = tables(
+        task_snapshots=[dict(task_id="t", repo="r", received_at=AT, task_text="fix load of tax"), dict(task_id="u", repo="r", received_at=AT, task_text="an of it")],
+        source_files=[dict(file_id=n, repo="r", file_path=p, source_text=t) for n, (p, t) in enumerate(text.items())] + [dict(file_id=9, repo="s", file_path="e.py", source_text="load")],
+        symbols=[], import_edges=[], placeholder_findings=[],
+    )
+    got = {(r.query, r.path): (r.origin, r.place) for r in analysis.q2_search(spark, folder).collect() if r.origin == "raw"}
+    assert got == {("t", "b.py"): ("raw", 1), ("t", "d.py"): ("raw", 2), ("t", "a.py"): ("raw", 3)}
+    asked = spark.createDataFrame([("t", "r", w) for w in ("fix", "load", "tax")], "query string, repo string, term string")
+    files = spark.createDataFrame([("r", p, t) for p, t in text.items()], "repo string, path string, text string")
+    assert {r.path: r.hits for r in scan.literal_hits(files, asked).collect()} == {"a.py": 1, "b.py": 25, "d.py": 2}
