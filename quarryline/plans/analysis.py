@@ -842,9 +842,17 @@ SQL["t8_outcome_boost"] = S.facts("tasks") + " select path, least(3.0, count(*)
 
 
 def t2_signature(spark: SparkSession, folder: str) -> DataFrame:
-    """The signature of the dirty entries of each snapshot's workspace."""
-    d = table(spark, folder, "dirty_files").select(F.col("file_path").alias("path"), F.col("dirty_hash").alias("hash"))
-    return live.signature(d)
+    """(repo_root, snapshot_id, head_commit, signature, entries): the signature of the dirty entries of each snapshot's
+    workspace together with its head commit. Snapshots without dirty entries have one too; the latest delivery counts."""
+    keys = ["repo_root", "snapshot_id"]
+    d = table(spark, folder, "dirty_files").select(*keys, F.col("file_path").alias("path"), F.col("dirty_hash").alias("hash"))
+    sums = live.signature(d, keys)
+    f = table(spark, folder, "freshness").where("snapshot_id is not null").groupBy(*keys).agg(F.max(F.struct("received_at", "head_commit"))["head_commit"].alias("head_commit"))
+    a, b = sums.alias("a"), f.alias("b")
+    met = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "full")
+    head, dirty = F.col("head_commit"), F.coalesce("signature", F.lit("0"))
+    each = F.sha1(F.concat_ws("\0", F.coalesce(head, F.lit("none")), dirty)).alias("signature")
+    return met.select(*(F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys), head, each, F.coalesce("entries", F.lit(0)).alias("entries"))
 
 
 def v_ledger(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,12 +31,13 @@ def memory_stream(events: DataFrame) -> DataFrame:
     return keyed.applyInPandasWithState(update, ENTRY, "entry string", "update", GroupStateTimeout.NoTimeout)
 
 
-def signature(entries: DataFrame) -> DataFrame:
-    """One row (signature, entries) that tells whether (path, hash) entries changed: their order doesn't matter."""
+def signature(entries: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, signature, entries) that tells whether (path, hash) entries changed, per ``keys`` where some are given and
+    else in one row: their order doesn't matter."""
     one = F.sha1(F.concat_ws("\0", "path", F.coalesce("hash", F.lit("missing"))))
     # digests are added up, so the table is never gathered or sorted
     part = F.conv(F.substring(one, 1, 12), 16, 10).cast("decimal(38,0)")
-    return entries.distinct().agg(F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("signature"), F.count("*").alias("entries"))
+    return entries.distinct().groupBy(*keys).agg(F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("signature"), F.count("*").alias("entries"))
 
 
 def on_change(rebuild: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:

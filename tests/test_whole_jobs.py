@@ -102,3 +102,15 @@ def test_search_takes_every_term_also_inside_words(spark, tables):
     asked = spark.createDataFrame([("t", "r", w) for w in ("fix", "load", "tax")], "query string, repo string, term string")
     files = spark.createDataFrame([("r", p, t) for p, t in text.items()], "repo string, path string, text string")
     assert {r.path: r.hits for r in scan.literal_hits(files, asked).collect()} == {"a.py": 1, "b.py": 25, "d.py": 2}
+
+
+def test_signature_of_each_snapshot(spark, tables):
+    entries = [("1", "w", "x", "h"), ("1", "w", "y", "h"), ("2", "w", "x", "h"), ("3", "v", "x", "h"), ("3", "v", "x", "h"), ("4", "v", "x", "g")]
+    folder = tables(
+        dirty_files=[dict(snapshot_id=s, repo_root=w, file_path=p, dirty_hash=h) for s, w, p, h in entries],
+        freshness=[dict(snapshot_id=s, repo_root=w, head_commit=c, received_at=AT) for s, w, c in [("1", "w", "c"), ("2", "w", "c"), ("3", "v", "c"), ("4", "v", "c"), ("5", "v", "c"), ("6", "v", "d")]],
+    )
+    got = {r.snapshot_id: r for r in analysis.t2_signature(spark, folder).collect()}
+    assert {k: (r.repo_root, r.entries) for k, r in got.items()} == {"1": ("w", 2), "2": ("w", 1), "3": ("v", 1), "4": ("v", 1), "5": ("v", 0), "6": ("v", 0)}
+    assert got["2"].signature == got["3"].signature  # the same entries on the same commit
+    assert len({r.signature for r in got.values()}) == 5
