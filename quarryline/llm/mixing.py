@@ -7,15 +7,13 @@ import random
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.session import cut
 
 #: Documents of a source that one leaf of the tree rounds, and residuals that one inner node does.
 LEAF, FAN = 20_000, 64
-#: A document with more than this part of its source's tokens is heavy; a source has at most 1 / HEAVY of them.
-HEAVY = 1 / 500
 #: More targets than this are not a mixing plan but a table; they would have to be joined, not planned on the driver.
 MOST_TARGETS = 10_000
 
@@ -30,7 +28,9 @@ def pivotal(sizes: list[int], p: list[float], rng: random.Random) -> list[float]
     """Round all but at most one of the probabilities to 0 or 1, keeping each one's mean and the expected size.
 
     Two open items are paired: as much expected size as one can take or give is moved from one to the other, in
-    a direction chosen so that both keep their means; one of them becomes integral, the other meets the next.
+    a direction chosen so that both keep their means; one of them becomes integral, the other meets the next. Items
+    meet in the order given; with the largest first, large ones trade with large ones, and the one that stays open
+    is small.
     """
     out, open_at = list(p), -1
     for j in range(len(out)):
@@ -49,22 +49,6 @@ def pivotal(sizes: list[int], p: list[float], rng: random.Random) -> list[float]
     return out
 
 
-def against_rest(sizes: list[int], p: float, rest: float, rng: random.Random) -> list[float]:
-    """Round items of equal probability, given largest first, each against all that follow and ``rest`` tokens.
-
-    An item settles by chance at its probability; the expected size that it took or gave goes, in proportion, to
-    the probability of everything after it. Every item keeps its mean as long as no probability leaves 0 to 1.
-    """
-    out, after = [], sum(sizes) + rest
-    for size in sizes:
-        after -= size
-        took = float(rng.random() < p)
-        out.append(took)
-        if after > 0:
-            p = min(1.0, max(0.0, p + (p - took) * size / after))
-    return out
-
-
 def plan_mix(sizes: dict[str, tuple[int, int]], targets: dict[str, tuple[float, int]], total: float | None = None) -> dict[str, float]:
     """Copies per document (a real number up to max_repeats) of each source.
 
@@ -85,10 +69,11 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total: float | None = None,
     ``docs`` has (doc_id, source, n_tokens), ``targets`` (source, target_share, max_repeats). A document delivered
     repeatedly counts once (with its greatest size and source). Documents without tokens, of no source or of a
     source without target are not in the mix. Each document gets the whole part of its source's copies; the
-    fractional parts are rounded dependently: first those of heavy documents, largest first, each against all that
-    are smaller; what they are off their share is taken from the light ones' parts. These are rounded in leaves of
-    LEAF documents, at most one residual per leaf goes up a tree of fan-out FAN, and the last one of a source is
-    rounded by chance. A source is therefore off its target by less than one light document. The outcome depends on ``seed`` and the documents only, not on partitions.
+    fractional parts are rounded by pairs: in leaves of about LEAF documents of like size, at most one residual per
+    leaf going up a tree of fan-out FAN in which, too, the largest meet first, and the last one of a source is
+    rounded by chance. Every document keeps its mean, and a source is off its target by less than one document: the
+    last open one, which is small, as the sizes met in falling order. The outcome depends on ``seed`` and the
+    documents only, not on partitions.
     """
     plan_rows = targets.where("source is not null").groupBy("source").agg(
         F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats")
@@ -100,41 +85,30 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total: float | None = None,
     once = cut(once.where("doc_id is not null and n_tokens > 0").where(F.col("source").isin(*wanted) if wanted else F.lit(False)))
     sums = {r["source"]: r for r in once.groupBy("source").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")).collect()}
     copies = plan_mix({s: (r["docs"], r["tokens"]) for s, r in sums.items()}, wanted, total)
-    leaves = {s: math.ceil(sums[s]["docs"] / LEAF) for s in copies}
-    shape = [
-        (s, float(math.floor(c + 1e-9)), max(0.0, c - math.floor(c + 1e-9)), leaves[s], sums[s]["tokens"] * HEAVY)
-        for s, c in copies.items()
-    ]
-    schema = "source string, whole double, part double, leaves bigint, heavy double"
+    shape = [(s, float(math.floor(c + 1e-9)), max(0.0, c - math.floor(c + 1e-9)), math.ceil(sums[s]["docs"] / LEAF)) for s, c in copies.items()]
+    schema = "source string, whole double, part double, leaves bigint"
     plan = F.broadcast(docs.sparkSession.createDataFrame(shape, schema))  # at most MOST_TARGETS rows
-    placed = once.join(plan, "source").withColumn("node", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("leaves")))
-    placed = placed.withColumn("n_tokens", F.col("n_tokens").cast("bigint"))
-
-    def round_heavy(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["n_tokens", "doc_id"], ascending=[False, True]).reset_index(drop=True)
-        rest = float(sums[key[0]]["tokens"] - part["n_tokens"].sum())
-        part["p"] = against_rest(part["n_tokens"].tolist(), float(part["p"].iloc[0]), rest, random.Random(f"{seed}/{key[0]}"))
-        return part[["source", "node", "doc_id", "n_tokens", "p"]]
+    placed = once.join(plan, "source").withColumn("n_tokens", F.col("n_tokens").cast("bigint"))
+    # classes of size (powers of two, largest first) each get leaves of their own, as many as they need
+    placed = placed.withColumn("size", F.lit(63) - F.floor(F.log2("n_tokens")).cast("bigint"))
+    classes = placed.groupBy("source", "size").agg(F.ceil(F.count("*") / LEAF).alias("own"))  # at most 64 rows a source
+    order = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    classes = F.broadcast(classes.withColumn("first", F.coalesce(F.sum("own").over(order), F.lit(0))))
+    spread = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("own"))
+    state = placed.join(classes, ["source", "size"]).select("source", (F.col("first") + spread).alias("node"), "doc_id", "n_tokens", F.col("part").alias("p"))
 
     def round_at(level: int):  # noqa: ANN202
         def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-            part = part.sort_values("doc_id").reset_index(drop=True)
+            part = part.sort_values(["n_tokens", "doc_id"], ascending=[False, True]).reset_index(drop=True)
             rng = random.Random(f"{seed}/{level}/{key[0]}/{key[1]}")
             part["p"] = pivotal(part["n_tokens"].tolist(), part["p"].tolist(), rng)
             return part[["source", "node", "doc_id", "n_tokens", "p"]]
 
         return run
 
-    big = placed.where("n_tokens > heavy").select("source", F.lit(-1).cast("bigint").alias("node"), "doc_id", "n_tokens", F.col("part").alias("p"))
-    big = cut(big.groupBy("source", "node").applyInPandas(round_heavy, ROUNDED))
-    off = big.join(plan, "source").groupBy("source").agg(F.sum(F.col("n_tokens") * (F.col("p") - F.col("part"))).alias("off"))
-    light = placed.where("n_tokens <= heavy")
-    mass = light.groupBy("source").agg(F.sum("n_tokens").alias("mass"))
-    shift = F.broadcast(mass.join(off, "source", "left").select("source", (F.coalesce("off", F.lit(0.0)) / F.col("mass")).alias("shift")))
-    part = F.when(F.col("part") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("part") - F.col("shift")))).otherwise(F.lit(0.0))
-    state = light.join(shift, "source").select("source", "node", "doc_id", "n_tokens", part.alias("p"))
     state = cut(state.groupBy("source", "node").applyInPandas(round_at(0), ROUNDED))
-    done, width, level = [big, state.where("p in (0, 1)")], max(leaves.values(), default=1), 1
+    most = max((math.ceil(r["docs"] / LEAF) for r in sums.values()), default=1) + 64  # nodes of a source at most
+    done, width, level = [state.where("p in (0, 1)")], most, 1
     left = state.where("p not in (0, 1)")
     while width > 1:
         width = math.ceil(width / FAN)

@@ -50,7 +50,7 @@ MARKS = ["none", "generated", "minified", "vendored"]
 NAMED = [[0.9985, 0.0005, 0.0005, 0.0005], [0.60, 0.39, 0.005, 0.005], [0.65, 0.005, 0.34, 0.005], [0.50, 0.005, 0.005, 0.49], [0.985, 0.005, 0.005, 0.005]]
 #: The chance that a body with copies is in 1, 2, 3-4, 5-8, 9-16, 17 or more repositories. Bodies of under SHORT
 #: characters are shared by chance (empty files, one-line modules), so that their spread says nothing.
-SPREAD = [[0.50, 0.35, 0.08, 0.04, 0.02, 0.01], [0.40, 0.35, 0.12, 0.07, 0.04, 0.02], [0.25, 0.25, 0.20, 0.15, 0.10, 0.05], [0.10, 0.15, 0.20, 0.20, 0.20, 0.15], [0.40, 0.35, 0.12, 0.07, 0.04, 0.02]]
+SPREAD = [[0.60, 0.33, 0.04, 0.02, 0.007, 0.003], [0.40, 0.35, 0.12, 0.07, 0.04, 0.02], [0.25, 0.25, 0.20, 0.15, 0.10, 0.05], [0.10, 0.15, 0.20, 0.20, 0.20, 0.15], [0.40, 0.35, 0.12, 0.07, 0.04, 0.02]]
 SHORT = 200
 #: How common the labels are among bodies with copies.
 SHARED = [0.55, 0.10, 0.05, 0.28, 0.02]
