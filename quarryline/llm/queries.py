@@ -9,7 +9,7 @@ from quarryline.llm import syntax
 from quarryline.llm.mixing import mix_sources, shares
 from quarryline.llm.origin import origins
 from quarryline.llm.subjects import assign_subjects, composition, fit_subjects
-from quarryline.llm.tokens import count_tokens, encode_texts
+from quarryline.llm.tokens import count_tokens, decode_texts, encode_texts
 from quarryline.session import table
 
 
@@ -53,6 +53,11 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def p7_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The text of every document from its token ids: the round trip."""
+    return decode_texts(p7_ids(spark, folder))
+
+
 def _mix(spark: SparkSession, folder: str) -> DataFrame:
     sized = count_tokens(table(spark, folder, "documents").select("doc_id", "source", "text"))
     return mix_sources(sized, table(spark, folder, "mix_targets"))
@@ -84,6 +89,6 @@ def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
     return composition(_subjects(spark, folder))
 
 
-QUERIES = {"p1_found": p1_found, "p1_failures": p1_failures, "p1_rates": p1_rates, "p6_found": p6_found, "p6_labels": p6_labels, "p6_findings": p6_findings, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_composition": p9_composition}
+QUERIES = {"p1_found": p1_found, "p1_failures": p1_failures, "p1_rates": p1_rates, "p6_found": p6_found, "p6_labels": p6_labels, "p6_findings": p6_findings, "p7_ids": p7_ids, "p7_texts": p7_texts, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_composition": p9_composition}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p7_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}

@@ -11,10 +11,8 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Texts up to so many characters are a leaf of the tree.
-LEAF = 16_384
-#: First width, in characters, of the window in which a stable boundary is looked for on either side of a joint.
-WINDOW = 32
+#: Characters of a leaf of the tree; every text goes through the tree.
+LEAF = 512
 #: Texts handed on at once, so that a batch of long ones stays small in memory.
 AT_ONCE = 512
 
@@ -66,61 +64,101 @@ def stable(before: str, after: str) -> bool:
     return a != b and a in "LNP" and b in "LNPW" and not (before == "'" and b == "L")
 
 
-def _last_stable(text: str) -> int:
-    """The last stable place inside ``text`` (0 if there is none), looked for in growing windows."""
-    at, width, end = 0, WINDOW, len(text)
-    while end > 1:
-        start = max(1, len(text) - width)
-        for at in range(end - 1, start - 1, -1):
-            if stable(text[at - 1], text[at]):
-                return at
-        end, width = start, width * 4
-    return 0
+def _last_stable(text: str, start: int, end: int) -> int:
+    """The last stable place inside a part of ``text`` (its start if there is none)."""
+    for at in range(end - 1, start, -1):
+        if stable(text[at - 1], text[at]):
+            return at
+    return start
 
 
-def _first_stable(text: str) -> int:
-    """The first stable place inside ``text``; its length if there is none."""
-    for at in range(1, len(text)):
+def _first_stable(text: str, start: int, end: int) -> int:
+    """The first stable place inside a part of ``text``; its end if there is none."""
+    for at in range(start + 1, end):
         if stable(text[at - 1], text[at]):
             return at
-    return len(text)
+    return end
+
+
+#: A part of a text with its encoding: where it begins and ends, and its tokens in pieces that are joined at the end.
+Part = tuple[int, int, list[list[int]]]
 
 
-def join(encode: Encode, left: tuple[str, list[int]], right: tuple[str, list[int]]) -> tuple[str, list[int]]:
-    """The encoding of two neighbours' text from their encodings: associative, with ("", []) as its unit.
+def join(encode: Encode, text: str, left: Part, right: Part) -> Part:
+    """The encoding of two neighbours from their encodings: associative, with an empty part as its unit.
 
     Only the window between the last stable place of the left and the first of the right is encoded anew; the
-    tokens outside it are proved to stay.
+    tokens outside it are proved to stay. The parts refer to ``text`` by place, and token lists are handed up as
+    they are, so a join costs its window and what it takes off the ends of the lists, not the length of the parts.
     """
-    (a, ids_a), (b, ids_b) = left, right
-    if not a or not b:
-        return (a + b, ids_a + ids_b)
-    if stable(a[-1], b[0]):
-        return (a + b, ids_a + ids_b)
-    cut_a, cut_b = _last_stable(a), _first_stable(b)
-    tail, head = a[cut_a:], b[:cut_b]
-    keep_a, skip_b = len(ids_a) - len(encode(tail)), len(encode(head))
-    return (a + b, ids_a[:keep_a] + encode(tail + head) + ids_b[skip_b:])
+    (start, middle, ids_a), (_, end, ids_b) = left, right
+    if start == middle or middle == end or stable(text[middle - 1], text[middle]):
+        return start, end, _linked(ids_a, ids_b)
+    cut_a, cut_b = _last_stable(text, start, middle), _first_stable(text, middle, end)
+    _drop_last(ids_a, len(encode(text[cut_a:middle])))
+    _drop_first(ids_b, len(encode(text[middle:cut_b])))
+    ids_a.append(encode(text[cut_a:cut_b]))
+    return start, end, _linked(ids_a, ids_b)
+
+
+def _linked(a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
+    """Two lists of pieces as one; the shorter one's pieces are moved."""
+    if len(a) >= len(b):
+        a.extend(b)
+        return a
+    b[:0] = a
+    return b
+
+
+def _drop_last(pieces: list[list[int]], n: int) -> None:
+    while n and n >= len(pieces[-1]):
+        n -= len(pieces.pop())
+    if n:
+        pieces[-1] = pieces[-1][:-n]
+
+
+def _drop_first(pieces: list[list[int]], n: int) -> None:
+    at = 0
+    while n and n >= len(pieces[at]):
+        n -= len(pieces[at])
+        at += 1
+    del pieces[:at]
+    if n:
+        pieces[0] = pieces[0][n:]
 
 
 def encode_text(encode: Encode, text: str | None, leaf: int = LEAF) -> list[int]:
-    """The token ids of a text; of an empty or null one none."""
+    """The token ids of a text; of an empty or null one none.
+
+    The tree is worked off from its leaves, left to right: two parts of equal height are joined as soon as both are
+    there, as in a binary counter, and the rest at the end.
+    """
     if not text:
         return []
+    parts: list[tuple[int, Part]] = []
+    for start in range(0, len(text), leaf):
+        end = min(start + leaf, len(text))
+        height, part = 0, (start, end, [encode(text[start:end])])
+        while parts and parts[-1][0] == height:
+            height, part = height + 1, join(encode, text, parts.pop()[1], part)
+        parts.append((height, part))
+    whole = parts.pop()[1]
+    while parts:
+        whole = join(encode, text, parts.pop()[1], whole)
+    return [i for piece in whole[2] for i in piece]
 
-    def tree(start: int, end: int) -> tuple[str, list[int]]:
-        if end - start <= leaf:
-            part = text[start:end]
-            return part, encode(part)
-        middle = (start + end) // 2
-        return join(encode, tree(start, middle), tree(middle, end))
 
-    return encode(text) if len(text) <= leaf else tree(0, len(text))[1]
+def decode_tree(pieces: Callable[[list[int]], bytes], ids: list[int], leaf: int = LEAF) -> str:
+    """The text of token ids: the bytes of halves, put together up a tree."""
+    level = [pieces(ids[at : at + leaf]) for at in range(0, len(ids), leaf)]
+    while len(level) > 1:
+        level = [b"".join(level[at : at + 2]) for at in range(0, len(level), 2)]
+    return level[0].decode("utf-8") if level else ""
 
 
-def decode_ids(path: str, ids: list[int]) -> str:
-    """The text of token ids: the bytes of the tokens one after the other."""
-    return encoding(path).decode(ids)
+def decode_ids(path: str, ids: list[int], leaf: int = LEAF) -> str:
+    """The text of token ids."""
+    return decode_tree(encoding(path).decode_bytes, ids, leaf)
 
 
 def encode_texts(texts: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -164,3 +202,19 @@ def count_tokens(texts: DataFrame, path: str | None = None, text: str = "text",
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, count])
 
     return source.mapInArrow(run, schema)
+
+
+def decode_texts(rows: DataFrame, path: str | None = None, ids: str = "ids", text: str = "text") -> DataFrame:
+    """Every row with ``text``, what its token ids stand for, in their place; of null and empty lists the empty text.
+    Ids that are no token's, and bytes that are no text, are an error."""
+    where = path or vocabulary_path()
+    kept = [c for c in rows.columns if c not in (text, ids)]
+    source = rows.select(*kept, ids)
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in source.dtypes if n != ids), f"`{text}` string"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [decode_ids(where, x or []) for x in batch.column(len(kept)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string())], names=[*kept, text])
+
+    return source.mapInArrow(run, schema)

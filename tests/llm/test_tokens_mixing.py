@@ -32,17 +32,39 @@ def test_any_text(text, leaf):
 
 def test_join_is_a_monoid():
     rng = random.Random(2)
-    for _ in range(200):
+    for _ in range(300):
         a, b, c = (("".join(rng.choices(PIECES, k=rng.randrange(8)))) for _ in range(3))
-        x, y, z = ((t, ENCODE(t)) for t in (a, b, c))
-        left = tokens.join(ENCODE, tokens.join(ENCODE, x, y), z)
-        assert left == tokens.join(ENCODE, x, tokens.join(ENCODE, y, z)) == (a + b + c, ENCODE(a + b + c))
-        assert tokens.join(ENCODE, ("", []), x) == x == tokens.join(ENCODE, x, ("", []))
+        text, m, n = a + b + c, len(a), len(a + b)
+
+        def part(start, end, text=text):
+            return start, end, [ENCODE(text[start:end])] if end > start else []
+
+        flat = lambda p: (p[0], p[1], [i for x in p[2] for i in x])
+        left = tokens.join(ENCODE, text, tokens.join(ENCODE, text, part(0, m), part(m, n)), part(n, len(text)))
+        right = tokens.join(ENCODE, text, part(0, m), tokens.join(ENCODE, text, part(m, n), part(n, len(text))))
+        assert flat(left) == flat(right) == (0, len(text), ENCODE(text))
+        assert flat(tokens.join(ENCODE, text, part(0, 0), part(0, n))) == flat(part(0, n)) == flat(tokens.join(ENCODE, text, part(0, n), part(n, n)))
+
+
+def test_every_text_goes_through_the_tree():
+    """No size of text is encoded another way: a text of two leaves and one of many both join."""
+    calls = []
+
+    def encode(x):
+        calls.append(len(x))
+        return ENCODE(x)
+
+    for n in (tokens.LEAF + 1, tokens.LEAF * 9 + 5):
+        calls.clear()
+        text = ("some words, and more; " * n)[:n]
+        assert tokens.encode_text(encode, text) == ENCODE(text)
+        assert max(calls) <= tokens.LEAF and len(calls) > 1 + n // tokens.LEAF
 
 
 def test_long_texts_without_boundaries():
     for text in ("a" * 50_000, " " * 40_000, "ab1 " * 20_000, "中" * 40_000):
         assert tokens.encode_text(ENCODE, text) == ENCODE(text)
+        assert tokens.decode_ids(PATH, ENCODE(text)) == text
 
 
 def test_query_rows(spark):
@@ -52,6 +74,8 @@ def test_query_rows(spark):
     assert got == Counter((i, tuple(ENCODE(t) if t else [])) for i, t, _ in rows)
     counted = {r.doc_id: r.n_tokens for r in tokens.count_tokens(df).collect()}
     assert counted == {1: 2, 2: 0, 3: 0, 4: len(ENCODE("y " * 30_000))}
+    back = tokens.decode_texts(tokens.encode_texts(df)).collect()
+    assert Counter((r.doc_id, r.text) for r in back) == Counter((i, t or "") for i, t, _ in rows)
     assert tokens.encode_texts(df.limit(0)).count() == 0 and tokens.encode_texts(df.limit(0)).columns == ["doc_id", "ids"]
 
 
