@@ -25,7 +25,11 @@ LEAST_WEIGHT = 0.5
 #: Values shorter than this carry too little to identify a quantity without a similar name.
 TELLING = 3
 
-FLAT = "producer string, file_name string, rec string, field string, kind string, canon string, num double"
+FLAT = "producer string, file_name string, row bigint, rec string, field string, kind string, canon string, num double, whole boolean"
+#: A table of more columns than this is none: objects keyed by ids, say, have to be unnested first.
+MOST_COLUMNS = 10_000
+#: Integers beyond this are no longer exact as doubles.
+EXACT = 1 << 53
 
 
 def _no_constant(name: str) -> float:
@@ -82,8 +86,10 @@ def canonical(x: object) -> str:
     """The value as text, alike for the same quantity written as number, text, flag, list or time."""
     if isinstance(x, bool):
         return str(int(x))
-    if isinstance(x, (int, float)):
-        return repr(float(x)) if abs(x) < 1e300 else str(x)
+    if isinstance(x, int):
+        return repr(float(x)) if abs(x) <= EXACT else str(x)
+    if isinstance(x, float):
+        return repr(x)
     if isinstance(x, list):
         return ",".join(canonical(y) if not isinstance(y, (dict, type(None))) else json.dumps(y, sort_keys=True) for y in x)
     text = x.strip()
@@ -94,16 +100,32 @@ def canonical(x: object) -> str:
     if (t := millis(text)) is not None:
         return repr(float(t))
     try:
+        if INTEGER.fullmatch(text):
+            return canonical(int(text))
         return repr(float(text)) if text and text[0] in "+-.0123456789" else text
     except ValueError:
         return text
 
 
+INTEGER = re.compile(r"[+-]?[0-9]{1,4000}")
+
+
+def whole(canon: str) -> bool | None:
+    """Whether a canonical value is an integer of 64 bits, exactly; None if it is no number."""
+    try:
+        if INTEGER.fullmatch(canon):
+            return -(1 << 63) <= int(canon) < 1 << 63
+        x = float(canon)
+    except ValueError:
+        return None
+    return x.is_integer() and abs(x) <= EXACT
+
+
 def flat_records(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(producer, file_name, payload) to FLAT; a payload that is no valid JSON or no object gives nothing."""
+    """(producer, file_name, row, payload) to FLAT; a payload that is no valid JSON or no object gives nothing."""
     for part in parts:
         out = []
-        for producer, file_name, payload in part.itertuples(index=False):
+        for producer, file_name, row, payload in part.itertuples(index=False):
             try:
                 value = strict_json(payload)
             except ValueError:
@@ -120,8 +142,8 @@ def flat_records(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     num = float(canon)
                 except ValueError:
                     num = None
-                out.append((producer, file_name, rec, field, json_kind(x), canon, num))
-        yield pd.DataFrame(out, columns=["producer", "file_name", "rec", "field", "kind", "canon", "num"])
+                out.append((producer, file_name, row, rec, field, json_kind(x), canon, num, whole(canon)))
+        yield pd.DataFrame(out, columns=["producer", "file_name", "row", "rec", "field", "kind", "canon", "num", "whole"])
 
 
 def words(field: str) -> list[str]:
@@ -238,13 +260,20 @@ def _label(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(*key, *x) for x in out], columns=["producer", "file_name", "change_kind", "old_field", "new_field"])
 
 
-def schema_changes(records: DataFrame) -> DataFrame:
+def flatten_records(records: DataFrame) -> DataFrame:
+    """FLAT of (producer, file_name, payload), written once; ``row`` tells the rows of ``records`` apart."""
+    numbered = records.select("producer", "file_name", F.monotonically_increasing_id().alias("row"), "payload")
+    return cut(numbered.mapInPandas(flat_records, FLAT))
+
+
+def schema_changes(records: DataFrame, flat: DataFrame | None = None) -> DataFrame:
     """(producer, file_name, change_kind, old_field, new_field) of each file against the one before.
 
     ``records`` has (producer, file_name, file_seq, payload), one row per line. Files of a producer are ordered
     by file_seq, then name; rows without producer, name or number belong to no place in that order and are left
     out. A file whose payloads are all invalid still counts as present, with no fields. Repeated rows change
-    nothing. Other columns are not read. Empty tables give no rows.
+    nothing. Other columns are not read. Empty tables give no rows. ``flat`` is flatten_records' result for the
+    same records, where that is at hand.
     """
     raw = records.where("producer is not null and file_name is not null and file_seq is not null")
     files = raw.select(F.col("producer").alias("series"), F.col("file_name").alias("snap_id"), F.col("file_seq").alias("seq")).distinct()
@@ -252,8 +281,7 @@ def schema_changes(records: DataFrame) -> DataFrame:
         with_predecessor(files).where("prev_id is not null")
         .select(F.col("series").alias("producer"), F.col("snap_id").alias("file_name"), F.col("prev_id").alias("prev_name"))
     )
-    flat = raw.select("producer", "file_name", "payload").mapInPandas(flat_records, FLAT)
-    flat = cut(flat)
+    flat = flatten_records(raw) if flat is None else flat.where("producer is not null and file_name is not null")
     size = F.length("canon")
     profile = cut(
         flat.groupBy("producer", "file_name", "field").agg(
@@ -294,9 +322,8 @@ def schema_changes(records: DataFrame) -> DataFrame:
     return moved.unionByName(types)
 
 
-def _unified_names(changes: DataFrame, fields: DataFrame) -> dict[str, str]:
+def _unified_names(renames: dict[tuple[str, str], int], uses: dict[str, int]) -> dict[str, str]:
     """Each field's name in the one table: of names joined by renames, the one that most files use."""
-    uses = {r["field"]: r["n"] for r in fields.collect()}  # one row per distinct field name
     root = {f: f for f in uses}
 
     def find(x: str) -> str:
@@ -304,76 +331,128 @@ def _unified_names(changes: DataFrame, fields: DataFrame) -> dict[str, str]:
             x = root[x]
         return x
 
-    pairs = changes.where("change_kind = 'renamed'").groupBy("old_field", "new_field").count().collect()
-    for r in sorted(pairs, key=lambda r: (-r["count"], r["old_field"], r["new_field"])):
-        a, b = find(r["old_field"]), find(r["new_field"])
+    for old, new in sorted(renames, key=lambda p: (-renames[p], p)):
+        a, b = find(old), find(new)
         if a != b:
             keep, go = sorted((a, b), key=lambda x: (-uses.get(x, 0), x))
             root[go] = keep
     return {f: find(f) for f in uses}
 
 
+def column_names(fields: list[str], taken: list[str]) -> dict[str, str]:
+    """A column name per field: dots become ``__``; a name that is taken, case aside, gets the next free number."""
+    used, out = {t.lower() for t in taken}, {}
+    for f in sorted(fields):
+        plain = name = f.replace(".", "__")
+        n = 1
+        while name.lower() in used:
+            n += 1
+            name = f"{plain}_{n}"
+        used.add(name.lower())
+        out[f] = name
+    return out
+
+
+def _collected(rows: DataFrame) -> list:
+    got = rows.limit(MOST_COLUMNS + 1).collect()
+    if len(got) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} fields")
+    return got
+
+
 def unified_records(records: DataFrame) -> DataFrame:
     """One row per row of ``records`` (rec_id, producer, file_name, file_seq, line_no, payload) in one schema.
 
-    Columns of fields joined by renames are one column, named as most files name it (dots become ``__``) and typed
-    as most of its values are: number as double, boolean, array as array<string>, else string. Values of another
-    type are converted (texts of numbers, flags as 0/1/yes/no, lists written with commas); what can't be is null.
-    ``valid`` is false for payloads that are no valid JSON; their columns are null. The driver sees one row per
-    distinct field name and per distinct rename, never records.
+    Columns of fields joined by renames are one column, named as most files name it (``column_names``) and typed as
+    most of its values are: number as bigint if all of them are integers and else double, boolean, array as
+    array<string>, else string. Where a producer has two such fields in one record, they are no two names of one
+    quantity there: in all its records each keeps its own name. Values of another type than the column's are
+    converted (texts of numbers, flags as 0/1/yes/no, lists written with commas). What can't be without loss, a
+    second value of one dotted path, and a payload that is JSON but no object (under the empty name) are kept as JSON in
+    ``unfitted``, by dotted path, so that every value of a valid payload is in its row. ``valid`` is false for
+    payloads that are no valid JSON; their columns are null. The driver sees one row per distinct field name, rename
+    and name kept apart, at most MOST_COLUMNS of each, and refuses wider data; never records. Payloads are parsed
+    twice: for what is in them, and into their columns.
     """
-    changes = schema_changes(records)
-    flat = records.select("producer", "file_name", "payload").mapInPandas(flat_records, FLAT)
-    fields = flat.groupBy("field").agg(F.countDistinct("producer", "file_name").alias("n"))
-    to = _unified_names(changes, fields)
-    kinds = flat.groupBy("field", "kind").count().collect()
-    votes: dict[str, dict[str, int]] = {}
-    for r in kinds:
-        mine = votes.setdefault(to[r["field"]], {})
-        mine[r["kind"]] = mine.get(r["kind"], 0) + r["count"]
-    typed = {f: max(sorted(v), key=lambda k: v[k]) for f, v in votes.items()}
+    flat = flatten_records(records)
+    changes = schema_changes(records, flat)
+    uses = {r["field"]: r["n"] for r in _collected(flat.groupBy("field").agg(F.countDistinct("producer", "file_name").alias("n")))}
+    renames = {(r["old_field"], r["new_field"]): r["count"] for r in _collected(changes.where("change_kind = 'renamed'").groupBy("old_field", "new_field").count())}
+    to = _unified_names(renames, uses)
+    joined = [(f, t) for f, t in to.items() if any(f in p or t in p for p in renames)]
+    apart: set[tuple[str | None, str]] = set()
+    if joined:
+        of = F.broadcast(records.sparkSession.createDataFrame(joined, "field string, target string"))  # at most MOST_COLUMNS rows
+        seen = flat.join(of, "field").groupBy("producer", "row", "target").agg(F.collect_set("field").alias("fields"))
+        both = seen.where(F.size("fields") > 1).select("producer", "target").distinct()
+        apart = {(r["producer"], r["target"]) for r in _collected(both)}
+    kinds: dict[str, dict[str, int]] = {}
+    exact: dict[str, bool] = {}
+    # producers matter only where they keep names apart
+    apart_of = F.col("producer").isin([p for p, _ in apart if p is not None]) if apart else F.lit(False)
+    counted = flat.groupBy(F.when(apart_of, F.col("producer")).alias("producer"), "field", "kind").agg(F.count("*").alias("n"), F.bool_and("whole").alias("whole"))
+    for r in _collected(counted):
+        name = r["field"] if (r["producer"], to[r["field"]]) in apart else to[r["field"]]
+        mine = kinds.setdefault(name, {})
+        mine[r["kind"]] = mine.get(r["kind"], 0) + r["n"]
+        exact[name] = exact.get(name, True) and r["whole"] is not False
+    typed = {f: max(sorted(v), key=lambda k: v[k]) for f, v in kinds.items()}
+    typed = {f: "integer" if k == "number" and exact[f] else k for f, k in typed.items()}
 
     def convert(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            valid, values = [], []
-            for payload in part.pop("payload"):
-                row, ok = {}, True
+            valid, values, unfitted = [], [], []
+            for producer, payload in zip(part["producer"], part.pop("payload"), strict=True):
+                row: dict[str, str] = {}
+                rest: dict[str, list] = {}
                 try:
-                    value = strict_json(payload)
+                    value, ok = strict_json(payload), True
                 except ValueError:
                     value, ok = {}, False
-                for field, x in flatten(value) if isinstance(value, dict) else ():
-                    name = to.get(field, field)
-                    if (got := as_kind(x, typed.get(name, "string"))) is not None:
-                        row.setdefault(name, got)
+                if not isinstance(value, dict):
+                    rest[""] = [value]
+                    value = {}
+                producer = None if pd.isna(producer) else producer
+                for field, x in flatten(value):
+                    name = field if (producer, to[field]) in apart else to[field]
+                    got = as_kind(x, typed[name])
+                    if got is None or name in row:
+                        rest.setdefault(field, []).append(x)
+                    else:
+                        row[name] = got
                 valid.append(ok)
                 values.append(row)
-            yield part.assign(valid=valid, values=values)
+                unfitted.append({f: json.dumps(v[0] if len(v) == 1 else v) for f, v in rest.items()} or None)
+            yield part.assign(valid=valid, values=values, unfitted=unfitted)
 
     base = ["rec_id", "producer", "file_name", "file_seq", "line_no"]
-    schema = ", ".join(f"{n} {t}" for n, t in records.select(*base).dtypes) + ", valid boolean, values map<string,string>"
+    schema = ", ".join(f"{n} {t}" for n, t in records.select(*base).dtypes) + ", valid boolean, values map<string,string>, unfitted map<string,string>"
     rows = records.select(*base, "payload").mapInPandas(convert, schema)
-    sql = {"number": "double", "boolean": "boolean", "string": "string"}
+    sql = {"number": "double", "integer": "bigint", "boolean": "boolean", "string": "string"}
     columns = []
-    for f in sorted(typed):
+    for f, name in column_names(list(typed), [*base, "valid", "unfitted"]).items():
         x = F.try_element_at("values", F.lit(f))
-        x = F.from_json(x, "array<string>") if typed[f] == "array" else x.cast(sql[typed[f]])
-        columns.append(x.alias(f.replace(".", "__")))
-    return rows.select(*base, "valid", *columns)
+        columns.append((F.from_json(x, "array<string>") if typed[f] == "array" else x.cast(sql[typed[f]])).alias(name))
+    return rows.select(*base, "valid", "unfitted", *columns)
 
 
 def as_kind(x: object, kind: str) -> str | None:
-    """The value as text of the wanted kind; None if it can't be that."""
-    text = canonical(x) if not isinstance(x, str) else x
-    if kind == "number":
+    """The value as text of the wanted kind; None if it can't be that without loss."""
+    if kind in ("integer", "number"):
+        canon = canonical(x)
+        canon = {"0": "0.0", "1": "1.0"}.get(canon, canon)
         try:
-            return repr(float(canonical(x)))
+            if kind == "integer":
+                return str(int(canon) if INTEGER.fullmatch(canon) else int(float(canon))) if whole(canon) else None
+            got = float(canon)
         except ValueError:
             return None
+        exact = not INTEGER.fullmatch(canon) or int(got) == int(canon)
+        return repr(got) if exact and abs(got) != float("inf") else None
     if kind == "boolean":
         return {"1": "true", "1.0": "true", "0": "false", "0.0": "false"}.get(canonical(x))
     if kind == "array":
         if isinstance(x, list):
             return json.dumps([y if isinstance(y, str) else json.dumps(y) for y in x])
-        return json.dumps([y for y in str(text).split(",") if y])
-    return text if isinstance(x, str) else json.dumps(x)
+        return json.dumps([y for y in x.split(",") if y]) if isinstance(x, str) else None
+    return x if isinstance(x, str) else json.dumps(x)

@@ -184,8 +184,35 @@ def test_unified_table(spark):
     df = unified_records(spark.createDataFrame(records([("p", 1, a), ("p", 2, b)]), RAW))
     rows = sorted(df.collect(), key=lambda r: r.rec_id)
     assert len(rows) == 13 and [r.valid for r in rows].count(False) == 1
-    assert dict(df.dtypes)["flag"] == "boolean" and dict(df.dtypes)["count"] == "double"
-    assert rows[0].flag is True and rows[6].flag is False and rows[7]["count"] == 4.0
+    assert dict(df.dtypes)["flag"] == "boolean" and dict(df.dtypes)["count"] == "bigint"
+    assert rows[0].flag is True and rows[6].flag is False and rows[7]["count"] == 4
+
+
+def test_unified_table_loses_nothing(spark):
+    """Every value of a valid payload is in its row: in the column of its field's quantity, or in unfitted."""
+    p1 = [[rec(i, durationMs=i * 17.25 + 1000) for i in range(8)], [rec(i, durationTotalMs=i * 17.25 + 1000) for i in range(4, 12)]]
+    p2 = [rec(i, durationMs=1.5 + i, durationTotalMs=99.5 + i) for i in range(4)]  # both at once: two quantities here
+    odd = ['{"a": {"b": 1}, "a__b": "x", "A__B": true, "a.b": 7}', "[1, 2]", "3", '{"big": 9007199254740993}', '{"big": 9007199254740992}', '{"mixed": 1}', '{"mixed": 2}', '{"mixed": "n/a"}', '{"mixed": [1, {"k": null}]}', '{"huge": 123456789012345678901234567890}', "{"]
+    df = unified_records(spark.createDataFrame(records([("p1", 1, p1[0]), ("p1", 2, p1[1]), ("p2", 1, p2), (None, 1, odd)]), RAW))
+    assert len({c.lower() for c in df.columns}) == len(df.columns)
+    rows = sorted(df.collect(), key=lambda r: r.rec_id)
+    one = [r for r in rows if r.producer == "p1"]
+    name = "durationMs" if one[0].durationMs is not None else "durationTotalMs"
+    assert [r[name] for r in one] == [i * 17.25 + 1000 for i in [*range(8), *range(4, 12)]]
+    assert [(r.durationMs, r.durationTotalMs) for r in rows if r.producer == "p2"] == [(1.5 + i, 99.5 + i) for i in range(4)]
+    o = [r for r in rows if r.producer is None]
+    dotted, flat_name, upper = (next(c for c in df.columns if c in options) for options in (("a__b", "a__b_2", "a__b_3"), ("a__b_2", "a__b_3"), ("A__B", "A__B_2", "A__B_3")))
+    values = {str(o[0][c]) for c in df.columns if c.lower().startswith("a__b")}
+    assert {"x", "True"} <= values and dotted and flat_name and upper and json.loads(o[0].unfitted["a.b"]) in (1, 7) and values & {"1", "7"}
+    assert o[1].valid and json.loads(o[1].unfitted[""]) == [1, 2] and json.loads(o[2].unfitted[""]) == 3
+    assert (o[3].big, o[4].big) == (9007199254740993, 9007199254740992) and (o[5].mixed, o[6].mixed) == (1, 2)
+    assert json.loads(o[7].unfitted["mixed"]) == "n/a" and json.loads(o[8].unfitted["mixed"]) == [1, {"k": None}]
+    assert o[9].huge is None and json.loads(o[9].unfitted["huge"]) == 123456789012345678901234567890 and not o[10].valid
+
+
+def test_large_ids_are_told_apart():
+    assert canonical(9007199254740993) != canonical(9007199254740992) and canonical("9007199254740993") == canonical(9007199254740993)
+    assert canonical(3) == canonical("3") == canonical(3.0) == canonical("3.0")
 
 
 def test_matching_is_optimal():
