@@ -5,7 +5,6 @@ from __future__ import annotations
 import ast
 import json
 import re
-import sys
 import warnings
 from dataclasses import dataclass
 
@@ -22,8 +21,6 @@ CHECKED = {
     ".ts": (script.lex_ts, script.TS),
     ".py": (py.lex_python, py.PYTHON),
 }
-#: Nesting beyond this is refused, as compilers do; it must be within what the interpreter's stack allows.
-DEEPEST = 20_000
 CONFLICT = re.compile(r"^(?:<{7}|={7}|>{7}|\|{7})(?:\s|$)", re.M)
 
 
@@ -35,7 +32,6 @@ def extension(path: str | None) -> str:
 
 def conforms(text: str, ext: str) -> bool:
     """Whether the grammar of the extension consumes all of the text."""
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
     lex, grammar = CHECKED[ext]
     if "\0" in text:
         return False

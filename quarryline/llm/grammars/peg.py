@@ -20,11 +20,16 @@ from __future__ import annotations
 
 import re
 import string
+import sys
 from collections.abc import Callable
 
 OPEN, CLOSE = "([{", ")]}"
-#: Results kept over files are thrown away beyond so many.
-MOST_KEPT = 100_000
+#: Results kept over files are thrown away beyond so many, and are kept by tokens only for so many tokens at most:
+#: this bounds the memory of a worker; longer brackets are kept by their place while their text is read.
+MOST_KEPT, LONGEST_KEY = 100_000, 256
+#: Frames that one token can need. Calls of Python functions take no stack of the machine, so nesting as deep as a
+#: text is long is parsed as any other.
+FRAMES = 40
 
 
 class Node:
@@ -210,7 +215,7 @@ class Grammar:
         return out, k in ("star", "opt") or any(e for _, e in firsts)
 
     def _compile(self) -> None:
-        self._env: dict[str, object] = {"S": "", "P": [], "M": {}, "G": self.kept, "MOST": MOST_KEPT}
+        self._env: dict[str, object] = {"S": "", "P": [], "M": {}, "G": self.kept, "MOST": MOST_KEPT, "LONG": LONGEST_KEY}
         self._code: list[str] = []
         self._count = 0
         for name, (mark, node) in self.rules.items():
@@ -219,6 +224,7 @@ class Grammar:
                 # the partner of the bracket is known; the tokens up to it are the key
                 self._code.append(
                     f"def r_{name}(i):\n    a = i + 1 if S[i] == '\\n' else i\n    z = P.get(a)\n    if z is None: return -1\n"
+                    f"    if z - a >= LONG:\n        ok = M.get(({name!r}, a))\n        if ok is None:\n            ok = M[({name!r}, a)] = {body}(a) == z + 1\n        return z + 1 if ok else -1\n"
                     f"    key = S[a:z + 1]\n    kept = G[{name!r}]\n    ok = kept.get(key)\n    if ok is None:\n"
                     f"        ok = {body}(a) == z + 1\n        if len(kept) > MOST: kept.clear()\n        kept[key] = ok\n    return z + 1 if ok else -1\n"
                 )
@@ -327,6 +333,7 @@ class Grammar:
             return False
         env = self._env
         before = env["S"], env["P"], env["M"]
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), FRAMES * len(letters) + 10_000))
         env["S"], env["P"], env["M"] = letters + "\0\0", partners, {}
         try:
             rule: Callable[[int], int] = env[f"r_{start or self.start}"]  # type: ignore[assignment]
@@ -334,8 +341,6 @@ class Grammar:
             if end >= 0 and self.breaks and letters[end:] == "\n":
                 end += 1
             return end == len(letters)
-        except RecursionError:
-            return False
         finally:
             env["S"], env["P"], env["M"] = before
 
@@ -398,10 +403,8 @@ class Grammar:
                 j = run(node.parts[0], i)
             return i
 
-        try:
-            end = run(Node("rule", value=start or self.start), 0)
-        except RecursionError:
-            return max(furthest, 0), ["shallower nesting"]
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), FRAMES * len(letters) + 10_000))
+        end = run(Node("rule", value=start or self.start), 0)
         if end >= 0 and self.breaks and letters[end:] == "\n":
             end += 1
         if end == n:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Hashed features; labelled documents that a model is fitted on at most (more are sampled by hash of their id).
 WIDTH, MOST_LABELLED = 1 << 17, 3_000
+#: A chain over more subjects than this is refused.
+MOST_SUBJECTS = 1000
 #: The subject that holds only for documents without any other.
 ALONE = "software"
 BEAM = 6
@@ -226,7 +228,8 @@ FOLDS = 3
 
 def train(texts: list[tuple[str, str | None]], labels: list[set[str]], subjects: list[str]) -> Model:
     """Fit a chain; documents whose labels a model of the others finds all but impossible are left out of the last
-    fit; scores are calibrated on documents that the model for them hasn't seen."""
+    fit; scores are calibrated on documents that the model for them hasn't seen. Under 25 documents can't be held out
+    in parts, so all of them are fitted and the scores stay as they are."""
     order = sorted(s for s in subjects if s != ALONE) + [s for s in subjects if s == ALONE]
     y = np.array([[float(s in have) for s in order] for have in labels]).reshape(len(labels), len(order))
     rows = Sentences([t for t, _ in texts])
@@ -319,7 +322,10 @@ def fit_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame, most
     Labels compare without case and white space; those that are no subject of ``areas`` are left out, and so are
     documents without words. A document with ALONE and another subject counts for the other only.
     """
-    subjects = sorted({r[0].strip().lower() for r in areas.where("subject is not null").select("subject").distinct().limit(1000).collect()})
+    found = areas.where("subject is not null").select("subject").distinct().limit(MOST_SUBJECTS + 1).collect()
+    if len(found) > MOST_SUBJECTS:
+        raise ValueError(f"more than {MOST_SUBJECTS} subjects")
+    subjects = sorted({r[0].strip().lower() for r in found})
     per = labels.where("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.collect_set(F.lower(F.trim("subject"))).alias("have"))
     per = per.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # the documented bound
     texts = documents.join(F.broadcast(per), "doc_id").where("text is not null").dropDuplicates(["doc_id"])
