@@ -1,4 +1,4 @@
-"""Queries p2 to p5: references, schemas, snapshots and rankings over the code-intelligence tables."""
+"""Queries p2 to p4: references, schemas and snapshots over the code-intelligence tables."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from quarryline.functions.paths import normal_path, strip_text
 from quarryline.operators.orphans import month, orphan_references
 from quarryline.operators.schema_drift import schema_changes, unified_records
 from quarryline.operators.snapshot_diff import snapshot_changes
-from quarryline.operators.topn import code_of_double, codes_of_text, top_n
 from quarryline.session import table
 
 
@@ -91,38 +90,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _longest(df: DataFrame, *names: str) -> list[int]:
-    """The greatest length in bytes of each text column."""
-    return [x or 0 for x in df.agg(*(F.max(F.octet_length(n)) for n in names)).first()]
-
-
-def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The three highest findings of each file and focus files of each task."""
-    raw = table(spark, folder, "placeholder_findings").where("finding_id is not null")
-    # of one finding the latest row counts, of several at that time the one with the greatest score
-    score = F.when(~F.isnan("score"), F.col("score"))
-    latest = raw.groupBy("finding_id").agg(
-        F.max(F.struct("indexed_at", score.alias("score"), "line_no", "signal_id", "repo", "file_path")).alias("r")
-    ).select("finding_id", "r.*").where("score is not null")
-    findings = latest.withColumn("grp", F.concat(F.coalesce("repo", F.lit("")), F.lit(":"), F.coalesce("file_path", F.lit(""))))
-    (longest,) = _longest(raw, "signal_id")
-    down = [-code for code in codes_of_text(F.col("signal_id"), longest)]
-    words = [code_of_double(F.col("score")), F.coalesce(-F.col("line_no").cast("long"), F.lit(-(2**40))), *down, -F.col("finding_id")]
-    best = top_n(findings.select("grp", "finding_id", "score", "line_no", "signal_id"), 3, words)
-    by_file = best.select(F.lit("placeholder_findings").alias("src_table"), F.col("grp").alias("group_key"), F.col("finding_id").cast("string").alias("item_key"))
-
-    focus = table(spark, folder, "task_snapshots").select("task_id", F.explode("focus_files").alias("f"))
-    focus = focus.select("task_id", "f.file_path", "f.risk_score").where("risk_score is not null and not isnan(risk_score)")
-    focus = focus.where("task_id is not null and file_path is not null").groupBy(F.col("task_id").alias("grp"), "file_path")
-    focus = focus.agg(F.max("risk_score").alias("risk_score"))
-    (longest,) = _longest(focus, "file_path")
-    down = [-code for code in codes_of_text(F.col("file_path"), longest)]
-    best = top_n(focus, 3, [code_of_double(F.col("risk_score")), *down])
-    by_task = best.select(F.lit("task_snapshots").alias("src_table"), F.col("grp").alias("group_key"), F.col("file_path").alias("item_key"))
-    return by_file.unionByName(by_task)
-
-
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_table": p3_table, "p4_found": p4_found, "p5_found": p5_found}
+QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_table": p3_table, "p4_found": p4_found}
 
 SQL = {
     "p2_found": r"""
@@ -155,15 +123,4 @@ SQL = {
         from now n full join past p on n.snapshot_id = p.snapshot_id and n.file_path = p.file_path
         where p.file_path is null or n.file_path is null or n.h is distinct from p.h or n.k is distinct from p.k
     """,
-    "p5_found": """
-        with latest as (select *, row_number() over (partition by finding_id order by indexed_at desc nulls last, case when isnan(score) then null else score end desc nulls last, line_no desc nulls last, signal_id desc nulls last) rn from placeholder_findings),
-        ranked as (select *, row_number() over (partition by repo, file_path order by score desc, line_no nulls last, signal_id, finding_id) place
-            from latest where rn = 1 and score is not null and not isnan(score)),
-        focus as (select task_id, f.file_path, max(f.risk_score) risk_score from (select task_id, unnest(focus_files) f from task_snapshots)
-            where f.risk_score is not null and not isnan(f.risk_score) group by all),
-        placed as (select *, row_number() over (partition by task_id order by risk_score desc, file_path) place from focus)
-        select 'placeholder_findings' src_table, repo || ':' || file_path group_key, finding_id::varchar item_key from ranked where place <= 3
-        union all
-        select 'task_snapshots', task_id, file_path from placed where place <= 3
-    """,
 }

@@ -12,7 +12,6 @@ from quarryline.operators import schema_drift
 from quarryline.operators.orphans import orphan_references, pack, unpack
 from quarryline.operators.schema_drift import CHANGES, best_matching, canonical, name_similarity, schema_changes, unified_records
 from quarryline.operators.snapshot_diff import BLOCK, snapshot_changes, with_predecessor
-from quarryline.operators.topn import code_of_double, codes_of_text, top_n
 
 T0 = datetime(2025, 1, 1)
 REF = "rid int, ref string, t timestamp_ntz, extra string"
@@ -96,42 +95,6 @@ def test_snapshot_changes_equal_brute_force(spark):
     assert snapshot_changes(spark.createDataFrame([], SNAPS), spark.createDataFrame([], ROWS), ["h", "k"]).count() == 0
 
 
-def test_codes_keep_the_order(spark):
-    xs = [float("-inf"), -1e300, -2.5, -1.0, -5e-324, 0.0, 5e-324, 1.0, 2.0, 1e300, float("inf")]
-    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", code_of_double(F.col("x")).alias("c")).collect()
-    codes = {r.x: r.c for r in rows}
-    assert [codes[x] for x in xs] == sorted(codes.values()) and len(set(codes.values())) == len(xs)
-    minus = spark.createDataFrame([(-0.0,)], "x double").select(code_of_double(F.col("x"))).first()[0]
-    assert minus == codes[0.0]
-    words = [None, "", "a", "a\0", "aa", "abcdefg", "abcdefgh", "b", "é", "😀"]
-    df = spark.createDataFrame([(w,) for w in words], "w string")
-    coded = df.select("w", F.array(*codes_of_text(F.col("w"), 8)).alias("c")).collect()
-    by = {r.w: r.c for r in coded}
-    assert [by[w] for w in sorted(filter(lambda w: w is not None, words), key=lambda w: w.encode())] == sorted(v for w, v in by.items() if w is not None)
-    assert len(set(map(tuple, by.values()))) == len(words)
-
-
-@pytest.mark.parametrize("n", [1, 3, 10])
-def test_top_n_equals_sorting(spark, n):
-    rng = random.Random(n)
-    rows = [("hot", rng.choice([1.0, 2.0, 2.0, 7.5, -3.0]), rng.choice(["a", "b", "a long signal"]), i, "x") for i in range(3000)]
-    rows += [(f"g{rng.randrange(40)}", rng.uniform(-1, 1), "s", 10_000 + i, "x") for i in range(200)]
-    df = spark.createDataFrame(rows, "grp string, score double, signal string, id bigint, _words string").withColumnRenamed("_words", "words")
-    words = [code_of_double(F.col("score")), *(-c for c in codes_of_text(F.col("signal"), 13)), -F.col("id")]
-    got = defaultdict(set)
-    for r in top_n(df, n, words).collect():
-        got[r.grp].add(r.id)
-    for g in {r[0] for r in rows}:
-        own = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2], r[3]))
-        assert got[g] == {r[3] for r in own[:n]}, g
-
-
-def test_top_n_keeps_indistinguishable_rows_together_and_takes_empty_tables(spark):
-    df = spark.createDataFrame([("g", 1)] * 5 + [("g", 2)], "grp string, x bigint")
-    assert Counter(r.x for r in top_n(df, 2, [F.col("x")]).collect()) == {2: 1, 1: 5}
-    assert top_n(df.limit(0), 2, [F.col("x")]).count() == 0
-
-
 RAW = "rec_id bigint, producer string, file_name string, file_seq int, line_no int, delivered_at timestamp_ntz, payload string"
 
 
