@@ -135,8 +135,8 @@ def a3_composite_rank(spark: SparkSession, folder: str) -> DataFrame:
     return ranked(spark, folder).select(*KEY, *(F.round(p, 6).alias(p) for p in parts))
 
 
-_RANKED = S.facts("files", "syms", "imps", "risks") + f",\n{S.TESTED},\n{S.RANKED}"
-SQL["a3_composite_rank"] = _RANKED + " select repo, path, " + ", ".join(f"round({p}, 6)::double {p}" for p in ("centrality", "symbol_part", "surface", "near_tests", "dirt", "risk_part", "made", "rank")) + " from ranked"
+_RANKED = S.facts("files", "syms", "imps", "risks", "tasks") + f",\n{S.TESTED},\n{S.RANKED}"
+SQL["a3_composite_rank"] = _RANKED + " select repo, path, " + ", ".join(f"round({p}, 6)::double {p}" for p in ("centrality", "symbol_part", "surface", "near_tests", "dirt", "risk_part", "made", "usage", "churn", "outcome", "rank")) + " from ranked"
 
 
 def a5_module_rollup(spark: SparkSession, folder: str) -> DataFrame:
@@ -145,7 +145,7 @@ def a5_module_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("rank", F.round("rank", 4))
 
 
-SQL["a5_module_rollup"] = _RANKED + f""", {S.EDGES}, r as (select repo, path, module, round(rank, 6) rank from ranked),
+SQL["a5_module_rollup"] = _RANKED + f""", r as (select repo, path, module, round(rank, 6) rank from ranked),
     p as (select *, row_number() over (partition by repo, module order by rank desc, path) pl from r),
     t as (select e.repo, e.edge_id, unnest(list_distinct(list_filter([a.module, b.module], lambda x: x is not null))) module, a.module <> b.module cr from edges e
         left join r a on a.repo = e.repo and a.path = e.from_path left join r b on b.repo = e.repo and b.path = e.to_path),
@@ -409,11 +409,25 @@ def g1_typed_edges(spark: SparkSession, folder: str) -> DataFrame:
     return e.withColumn("weight", F.round("weight", 6))
 
 
-SQL["g1_typed_edges"] = S.facts("files", "syms", "imps", "risks") + f""", {S.TESTED}, e as (
+def g1_fact_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """The edges of g1_typed_edges that follow from the tables, without usages and jobs of texts."""
+    e = graph.typed_edges(facts.symbols(spark, folder), facts.imports(spark, folder), facts.files(spark, folder), tested(spark, folder), facts.risks(spark, folder))
+    return e.withColumn("weight", F.round("weight", 6))
+
+
+SQL["g1_fact_edges"] = S.facts("files", "syms", "imps", "risks") + f""", {S.TESTED},
+    named as (select distinct repo, path, symbol_id, coalesce(start_line, 0) l, unnest([name, case when qualified_name <> 'default' then qualified_name end]) n from syms where exported),
+    firsts as (select * from (select *, row_number() over (partition by repo, path, n order by l, symbol_id) rn from named where n is not null) where rn = 1),
+    known as (select i.* from imps i join files f on f.repo = i.repo and f.path = i.resolved),
+    bound as (select k.repo, k.path, k.resolved, k.type_only, x.symbol_id from known k join firsts x on x.repo = k.repo and x.path = k.resolved and x.n = k.imported_name where k.imported_name <> '*'), e as (
     select repo, 'DEFINES' edge_kind, path from_path, path to_path, null::varchar from_symbol, symbol_id to_symbol, 0 c, 3.0 weight from syms
-    union all select repo, 'EXPORTS', path, path, null, symbol_id, 0, 2.8 from syms where exported
-    union all select i.repo, 'IMPORTS', i.path, i.resolved, null, null, 0, 3.0 from imps i join files f on f.repo = i.repo and f.path = i.resolved where not type_only
+    union all select repo, case when kind in ('interface', 'type', 'enum') then 'TYPE_EXPORTS' else 'EXPORTS' end, path, path, null, symbol_id, 0, 2.8 from syms where exported
+    union all select repo, 'ROUTE', path, path, null, symbol_id, 0, 4.0 from syms where kind = 'route'
+    union all select repo, 'IMPORTS', path, resolved, null, null, 0, 3.0 from known where not type_only
+    union all select repo, 'IMPORTS', path, resolved, null, symbol_id, 0, 3.2 from bound where not type_only
+    union all select repo, 'REFERENCES', path, resolved, null, symbol_id, 0, 2.0 from bound
     union all select repo, 'TESTS', path, target, null, null, 0, 3.0 from tested
+    union all select repo, 'TEST_COVERS_WORKFLOW', path, target, null, null, 0, 2.8 from tested
     union all select repo, 'RISK', path, path, null, signal_id, {S.ordinal("coalesce(confidence, 'heuristic')")}, greatest(0.5, coalesce(score, 0.0)) from risks)
     select substr(sha1(concat_ws(chr(0), 'edge', repo, edge_kind, from_path, to_path, from_symbol, to_symbol)), 1, 16) edge_id, repo, edge_kind, from_path, to_path, from_symbol, to_symbol,
     ['authoritative', 'derived', 'heuristic'][min(c) + 1] confidence, round(max(weight::double), 6) weight from e group by repo, edge_kind, from_path, to_path, from_symbol, to_symbol"""
@@ -498,7 +512,7 @@ def g6_neighbourhoods(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _FW = "(case edge_kind " + " ".join(f"when '{k}' then {n}" for k, n in FUNCTIONAL_WEIGHT.items()) + " else 1 end)"
-SQL["g6_neighbourhoods"] = _RANKED + f""", {S.EDGES}, r as (select repo, path, module, is_test, round(rank, 6) rank from ranked),
+SQL["g6_neighbourhoods"] = _RANKED + f""", r as (select repo, path, module, is_test, round(rank, 6) rank from ranked),
     o as (select repo, from_path a, to_path b, {_FW} * (case confidence when 'authoritative' then 1.5 when 'derived' then 1.2 else 1.0 end) * greatest(1.0, weight) w from edges where from_path is not null and to_path is not null and from_path <> to_path),
     n as (select repo, a, b, sum(w) w from (select * from o union all select repo, b, a, w from o) group by all),
     m as (select n.*, x.module am, x.rank ar, y.module bm, y.is_test bt, y.rank br from n join r x on x.repo = n.repo and x.path = a and not x.is_test join r y on y.repo = n.repo and y.path = b),
@@ -543,7 +557,7 @@ def g11_notable_symbols(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.top_k(s, ["repo"], [F.col("score").desc(), F.col("symbol_id").asc()], 80).select("repo", "symbol_id", "score", "place")
 
 
-SQL["g11_notable_symbols"] = _RANKED + f""", {S.EDGES}, u as (select to_symbol, count(*) n from edges where to_symbol is not null group by all),
+SQL["g11_notable_symbols"] = _RANKED + f""", u as (select to_symbol, count(*) n from edges where to_symbol is not null group by all),
     s as (select y.repo, y.symbol_id, round(round(r.rank, 6) + log2(coalesce(u.n, 0) + 1) + case when exported then 2.0 else 0.0 end + case when kind in ('class', 'function', 'method', 'route') then 1.0 else 0.0 end, 6) score
         from syms y join ranked r on r.repo = y.repo and r.path = y.path left join u on u.to_symbol = y.symbol_id)
     select * from (select repo, symbol_id, score, row_number() over (partition by repo order by score desc, symbol_id)::int place from s) where place <= 80"""
@@ -608,10 +622,26 @@ def q1c_symbols(spark: SparkSession, folder: str) -> DataFrame:
     return _symbol_lane(spark, folder).select("query", "doc", F.round("score", 6).alias("score"))
 
 
-SQL["q1c_symbols"] = S.facts("syms", "tasks") + f""", q as (select task_id, repo, task_text, {S.expanded("task_text")} terms from tasks where repo is not null),
-    v as (select distinct repo, unnest([name, qualified_name, path]) v from syms), m as (select task_id, repo, v, {S.match_score("task_text", "terms", "v")} x from q join v using (repo) where v is not null),
-    b as (select m.task_id, s.path, s.symbol_id, s.exported, max(x) x from m join syms s on s.repo = m.repo and m.v in (s.name, s.qualified_name, s.path) where x > 0 group by all)
-    select task_id query, path doc, round(sum(x + case when exported then 4.0 else 1.0 end), 6)::double score from b group by all"""
+def q1c_bound_symbols(spark: SparkSession, folder: str) -> DataFrame:
+    """As q1c_symbols, with the names that imports bind as the only usages: no texts are read."""
+    i = facts.imports(spark, folder)
+    bound = i.select("repo", "path", F.coalesce("local_name", "imported_name", "specifier").alias("name")).where("name is not null")
+    bound = bound.groupBy("repo", "path", "name").agg(F.count("*").alias("n")).withColumn("text", F.col("name"))
+    lane = retrieve.symbol_lane(_queries(spark, folder), facts.symbols(spark, folder), i, bound)
+    return lane.select("query", "doc", F.round("score", 6).alias("score"))
+
+
+def _values(*columns: str) -> str:
+    return f"unnest(list_distinct(list_filter([{', '.join(columns)}], lambda x: x is not null)))"
+
+
+SQL["q1c_bound_symbols"] = S.facts("syms", "imps", "tasks") + f""", q as (select task_id, repo, task_text, {S.expanded("task_text")} terms from tasks where repo is not null),
+    it as (select repo, path, 's' || symbol_id item, case when exported then 4.0 else 1.0 end a, 1 n, {_values("name", "qualified_name", "path")} v from syms
+    union all select repo, path, 'i' || import_id, 1.0, 1, {_values("specifier", "imported_name", "local_name", "resolved")} from imps
+    union all select repo, path, 'u' || name, -1.0, n, {_values("name", "path")} from (select repo, path, coalesce(local_name, imported_name, specifier) name, count(*) n from imps group by all) where name is not null),
+    v as (select distinct repo, v from it), m as (select task_id, repo, v, {S.match_score("task_text", "terms", "v")} x from q join v using (repo)),
+    b as (select m.task_id, it.path, it.item, it.a, it.n, max(x) x from m join it on it.repo = m.repo and it.v = m.v where x > 0 group by all)
+    select task_id query, path doc, round(sum(n * greatest(0.0, x + a)), 6)::double score from b group by all having sum(n * greatest(0.0, x + a)) > 0"""
 
 
 def q1i_fusion(spark: SparkSession, folder: str) -> DataFrame:
@@ -681,11 +711,20 @@ def q13_recommend_tests(spark: SparkSession, folder: str) -> DataFrame:
 
 SQL["q13_recommend_tests"] = S.facts("files", "imps", "tasks") + f""", {S.TESTED}, tg as (select distinct task_id, repo, target from (select task_id, repo, unnest(planned) target from tasks)),
     so as (select repo, lower({S.stem("path")}) name, min(path) target from files where not is_test group by all having count(distinct path) = 1),
-    c as (select distinct tg.task_id, e.path test, 5.0 score, 0 tier from tg join tested e on e.repo = tg.repo and e.target = tg.target
-    union all select distinct tg.task_id, tg.target, 4.0, 0 from tg join files f on f.repo = tg.repo and f.path = tg.target and f.is_test
-    union all select distinct tg.task_id, e.path, 4.0, 1 from tg join imps i on i.repo = tg.repo and i.resolved = tg.target and not i.type_only join tested e on e.repo = tg.repo and e.target = i.path
-    union all select distinct tg.task_id, f.path, 2.0, 2 from files f join so on so.repo = f.repo and so.name = regexp_replace(lower({S.stem("path")}), '^test_|_test$|\\.(test|spec)$', '', 'g') join tg on tg.repo = f.repo and tg.target = so.target where f.is_test)
-    select task_id, test, sum(score)::double score, min(tier) tier from c group by all"""
+    ln as (select distinct repo, path src, resolved dst from imps where resolved is not null and path is not null),
+    one as (select distinct tg.task_id, tg.repo, ln.src target from tg join ln on ln.repo = tg.repo and ln.dst = tg.target),
+    two as (select distinct one.task_id, one.repo, ln.src target from one join ln on ln.repo = one.repo and ln.dst = one.target),
+    near as (select * from tg union select * from one union select * from two),
+    roots as (select distinct task_id, repo, string_split(target, '/')[1] root from tg where ends_with(target, '.py') and string_split(target, '/')[1] not in ('', 'api', 'backend', 'server', 'service', 'src', 'web', 'tests', 'scripts')),
+    ps as (select distinct repo, path test, regexp_replace(specifier, '^\\.+', '') pkg from imps where regexp_matches(lower(path), {S.quoted(P.TEST)})),
+    bo as (select repo, path, least(3.0, count(*) * 0.5) b from (select distinct task_id, repo, unnest(planned) path from tasks) group by all),
+    c as (select distinct tg.task_id, tg.repo, e.path test, 5.0 score, 0 tier, 1 src from tg join tested e on e.repo = tg.repo and e.target = tg.target
+    union all select distinct tg.task_id, tg.repo, tg.target, 4.0, 0, 2 from tg join files f on f.repo = tg.repo and f.path = tg.target and f.is_test
+    union all select distinct n.task_id, n.repo, n.target, 4.0, 0, 3 from near n join files f on f.repo = n.repo and f.path = n.target and f.is_test
+    union all select distinct n.task_id, n.repo, e.path, 4.0, 1, 4 from near n join tested e on e.repo = n.repo and e.target = n.target
+    union all select distinct tg.task_id, tg.repo, f.path, 2.0, 2, 5 from files f join so on so.repo = f.repo and so.name = regexp_replace(lower({S.stem("path")}), '^test_|_test$|\\.(test|spec)$', '', 'g') join tg on tg.repo = f.repo and tg.target = so.target where f.is_test
+    union all select distinct r.task_id, r.repo, ps.test, 3.0, 1, 6 from roots r join ps on ps.repo = r.repo and starts_with(ps.pkg, r.root))
+    select task_id, test, (sum(score) + coalesce(any_value(b), 0.0))::double score, min(tier) tier from c left join bo on bo.repo = c.repo and bo.path = c.test group by task_id, c.repo, test"""
 
 
 def q18_required_edges(spark: SparkSession, folder: str) -> DataFrame:
@@ -1046,7 +1085,7 @@ def g9_graph_export(spark: SparkSession, folder: str) -> DataFrame:
     return edges
 
 
-SQL["g9_graph_export"] = _RANKED + f""", {S.EDGES}, n as (select * from (select repo, path, module, row_number() over (partition by repo order by round(rank, 6) desc, path) pl from ranked) where pl <= 180),
+SQL["g9_graph_export"] = _RANKED + f""", n as (select * from (select repo, path, module, row_number() over (partition by repo order by round(rank, 6) desc, path) pl from ranked) where pl <= 180),
     b as (select e.repo, edge_id, edge_kind, from_path, to_path, weight, row_number() over (partition by e.repo order by weight desc, edge_id) pl from edges e join n x on x.repo = e.repo and x.path = e.from_path join n y on y.repo = e.repo and y.path = e.to_path)
     select repo, edge_id, edge_kind, from_path, to_path, weight from b where pl <= 600 union all select repo, module || ':' || path, 'CONTAINS', module, path, 1.0 from n"""
 

@@ -91,13 +91,16 @@ def facts(*names: str) -> str:
 
 #: Test edges: a test imports a file of its repository.
 TESTED = "tested as (select distinct i.repo, i.path, i.resolved target, 'authoritative' confidence from imps i join files t on t.repo = i.repo and t.path = i.path and t.is_test join files f on f.repo = i.repo and f.path = i.resolved where not i.type_only)"
-RANKED = """ranked as (select f.*, log2(coalesce(c.n, 0) + 1) centrality, least(coalesce(s.n, 0), 20) / 4 symbol_part,
+#: Uses per file (calls and references out of it) and boosts of planned files, which are parts of the rank.
+USED = f"""{EDGES}, used as (select repo, from_path path, count(*) n from edges where edge_kind in ('CALLS', 'REFERENCES') and from_path is not null group by all),
+    boosts as (select repo, path, least(3.0, count(*) * 0.5) b from (select distinct task_id, repo, unnest(planned) path from tasks) where path is not null group by all)"""
+RANKED = USED + """, parts as (select f.*, log2(coalesce(c.n, 0) + 1) centrality, least(coalesce(s.n, 0), 20) / 4 symbol_part,
     case when contains(f.path, '/api/') or contains(f.path, 'app.') or contains(f.path, 'index.') then 2.0 else 0.0 end surface,
     case when f.is_test then 0.5 when k.path is not null then 1.5 else 0.0 end near_tests, case when f.dirty then 3.0 else 0.0 end dirt,
-    least(coalesce(r.s, 0.0), 12.0) risk_part, case when f.generated then -2.0 else 0.0 end made,
-    log2(coalesce(c.n, 0) + 1) + least(coalesce(s.n, 0), 20) / 4 + case when contains(f.path, '/api/') or contains(f.path, 'app.') or contains(f.path, 'index.') then 2.0 else 0.0 end
-    + case when f.is_test then 0.5 when k.path is not null then 1.5 else 0.0 end + case when f.dirty then 3.0 else 0.0 end + least(coalesce(r.s, 0.0), 12.0) + case when f.generated then -2.0 else 0.0 end as rank
+    least(coalesce(r.s, 0.0), 12.0) risk_part, case when f.generated then -2.0 else 0.0 end made, log2(coalesce(u.n, 0) + 1) usage, 0.0 churn, coalesce(o.b, 0.0) outcome
     from files f left join (select repo, resolved path, count(*) n from imps where resolved is not null group by all) c on c.repo = f.repo and c.path = f.path
     left join (select repo, path, count(*) n from syms group by all) s on s.repo = f.repo and s.path = f.path
     left join (select repo, path, sum(score) s from risks group by all) r on r.repo = f.repo and r.path = f.path
-    left join (select distinct repo, target path from tested) k on k.repo = f.repo and k.path = f.path)"""
+    left join (select distinct repo, target path from tested) k on k.repo = f.repo and k.path = f.path
+    left join used u on u.repo = f.repo and u.path = f.path left join boosts o on o.repo = f.repo and o.path = f.path),
+    ranked as (select *, centrality + symbol_part + surface + near_tests + dirt + risk_part + made + usage + churn + outcome as rank from parts)"""
