@@ -75,17 +75,17 @@ def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:
     named = references.where("ref is not null").withColumn("_period", F.coalesce(month(F.col("t")), F.lit(-1)))
     used = named.groupBy("ref", "_period").agg(F.count("*").alias("n"))
     used = cut(used)
-    edges = used.where("_period >= 0").agg(F.min("_period"), F.max("_period"), F.sum("n"), F.count("*")).first()
-    low, high, total, pairs = (x or 0 for x in edges)
+    total, pairs = (x or 0 for x in used.agg(F.sum("n"), F.count("*")).first())
     hot = used.groupBy("ref").agg(F.sum("n").alias("n")).where(F.col("n") > max(total * HOT_SHARE, 10_000)).select("ref")
 
     lives = parents.where("ref is not null and since is not null and (until is null or until > since)")
     # only keys that are referred to are numbered, so a range holds as many keys as it was planned for
     lives = lives.select("ref", "since", "until").distinct().join(used.select("ref").distinct(), "ref", "left_semi")
-    born, dead = month(F.col("since")), F.coalesce(month(F.col("until")), F.lit(high + 1))
-    spans = lives.where((born <= high) & (dead >= low)).select("ref", born.alias("born"), dead.alias("dead"))
-    spans = spans.select("ref", "born", "dead", F.explode(F.sequence(F.greatest("born", F.lit(low)), F.least("dead", F.lit(high)))).alias("_period"))
-    partial = F.col("_period").isin(0) | (F.col("_period") == F.col("born")) | (F.col("_period") == F.col("dead"))
+    # a parent is marked in the months in which its key is referred to, not in all months of its life
+    born, dead = month(F.col("since")), month(F.col("until"))
+    spans = lives.select("ref", born.alias("born"), dead.alias("dead")).distinct().join(used.where("_period >= 0").select("ref", "_period"), "ref")
+    spans = spans.where("_period >= born and (dead is null or _period <= dead)")
+    partial = F.col("_period").isin(0) | (F.col("_period") == F.col("born")) | F.coalesce(F.col("_period") == F.col("dead"), F.lit(False))
     spans = spans.select("ref", "_period", F.when(partial, 2).otherwise(1).alias("role")).distinct()
 
     marks = used.select("ref", "_period", F.lit(0).alias("role")).unionByName(spans)

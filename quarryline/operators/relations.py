@@ -102,3 +102,34 @@ def endpoint_key(endpoint: Column) -> Column:
     path = F.regexp_replace(F.regexp_replace(endpoint, r"[?#].*$", ""), r"^https?://[^/]+", "")
     segments = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.when(s.rlike(r"^(\{.*\}|\$\{.*\}|:.+|<.+>|\[.+\])$"), F.lit("{}")).otherwise(s))
     return F.concat(F.lit("/"), F.array_join(segments, "/"))
+
+
+def resolved_targets(asked: DataFrame, symbols: DataFrame, most: int = 20) -> DataFrame:
+    """(scope, name, tier, symbol_id, ambiguous): what each asked name (scope, name) means.
+
+    ``symbols`` has (scope, symbol_id, qualified_name, name), each id once. An id counts first, then a qualified name,
+    then a name; a tier that has any symbol decides: one is the answer, of several the first ``most`` ids are listed
+    and the answer is null. Names of no symbol come out with nothing; null scopes and names aren't answered.
+    """
+    want = asked.where("scope is not null and name is not null").select("scope", "name").distinct()
+    tiers = (("id", "symbol_id"), ("qualified", "qualified_name"), ("name", "name"))
+    known = [symbols.select("scope", F.col(c).alias("name"), F.lit(n).alias("tier"), F.lit(k).alias("_k"), "symbol_id") for k, (n, c) in enumerate(tiers)]
+    # per name and tier the count and the least ids only: a name that millions of symbols bear is one row
+    least = reduce(DataFrame.unionByName, known).join(want, ["scope", "name"], "left_semi").groupBy("scope", "name", "tier", "_k", "symbol_id").agg(F.count("*").alias("_c"))
+    place = F.row_number().over(Window.partitionBy("scope", "name", "_k").orderBy("symbol_id"))
+    least = least.withColumn("_p", place).where(F.col("_p") <= most)
+    listed = least.groupBy("scope", "name", "_k", "tier").agg(F.array_sort(F.collect_list("symbol_id")).alias("ids"))
+    first = listed.groupBy("scope", "name").agg(F.min_by(F.struct("tier", "ids"), "_k").alias("r"))
+    one = F.size("r.ids") == 1
+    got = want.join(first, ["scope", "name"], "left")
+    return got.select("scope", "name", F.col("r.tier").alias("tier"), F.when(one, F.col("r.ids")[0]).alias("symbol_id"), F.when(~one, F.col("r.ids")).alias("ambiguous"))
+
+
+def planned_changes(changed: DataFrame, planned: DataFrame) -> DataFrame:
+    """``changed`` (scope, path, old_path, ...) with ``planned``: whether the plan (scope, path) of its scope has its
+    path or the path that it had before a rename. Repeated plans count once; a null old path is none."""
+    plan = planned.where("path is not null").select("scope", "path").distinct().withColumn("_hit", F.lit(True))
+    now = changed.join(plan, ["scope", "path"], "left").withColumnRenamed("_hit", "_now")
+    before = plan.select("scope", F.col("path").alias("old_path"), F.col("_hit").alias("_before"))
+    both = now.join(before, ["scope", "old_path"], "left")
+    return both.withColumn("planned", F.coalesce("_now", "_before", F.lit(False))).select(*changed.columns, "planned")

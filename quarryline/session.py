@@ -25,12 +25,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; a local one only where it is unset (tests)."""
+    """Use the shared folder of ``spark.checkpoint.dir``; a local one only where it is unset and the master is local
+    (tests). A cluster without it is refused, as its executors would write parts that no other can read."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = os.path.join(tempfile.gettempdir(), f"quarryline-checkpoints-{os.getuid()}")
     sc.setCheckpointDir(shared)
 
