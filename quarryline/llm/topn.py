@@ -109,15 +109,18 @@ def top_n(items: DataFrame, n: int, before: list[Column], text: Column, after: l
             break
         inside = skew_join(active, state, ["grp"], hot, spread)
         inside = inside.where(word_at(F.col("_at")).between(F.col("_lo"), F.col("_hi")))
-        # of a slice of one value the value is in the cutoff: what isn't equal to it has left
-        equal = F.size("_cut") == 0
-        active = cut(inside.where(equal | (_prefix() == F.col("_cut"))).select("grp", *code))
+        # the last word of the cutoff decides: rows that differ from an earlier one have left before
+        last = F.size("_cut") - 1
+        inside = inside.where((last < 0) | (word_at(last) == F.try_element_at("_cut", F.lit(-1))))
+        active = cut(inside.select("grp", *code))
     limits = reduce(DataFrame.unionByName, closed)
     kept = skew_join(base, limits, ["grp"], hot, spread, how="left")
-    # arrays compare element by element: at or above the cutoff in its words
-    return kept.where(F.col("_cut").isNull() | (_prefix() >= F.col("_cut"))).select(*names)
+    # arrays compare element by element; texts are looked at where the longs before them are equal only
+    head, least = F.slice("_before", F.lit(1), F.size("_cut")), F.slice("_cut", F.lit(1), F.size("_before"))
+    above = F.when(head > least, True).when(head < least, False).otherwise(_prefix() >= F.col("_cut"))
+    return kept.where(F.col("_cut").isNull() | above).select(*names)
 
 
 def _prefix() -> Column:
     """As many words of a row's code as its group's cutoff has."""
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.size("_cut") - 1, F.lit(0))), word_at)
+    return F.transform(F.sequence(F.lit(0), F.size("_cut") - 1), word_at)
