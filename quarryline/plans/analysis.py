@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions import paths as P
+from quarryline.functions import search as Z
 from quarryline.functions import text as X
-from quarryline.operators import changes, evaluate, exports, graph, ledger, memory, packets, ranking, relations, resolve, retrieve, scan
+from quarryline.operators import changes, evaluate, exports, graph, ledger, memory, packets, ranking, relations, resolve, retrieve, scan, workflows
 from quarryline.plans import facts
 from quarryline.plans import sqlparts as S
 from quarryline.schema import CALLEE_KINDS, CALLER_KINDS, EDGE_ORDER, FUNCTIONAL_WEIGHT, IMPACT_KINDS, ordinal
@@ -1145,4 +1146,143 @@ SQL["t_sessions"] = """with g as (select user_id, ts, case when ts - lag(ts) ove
     select user_id, min(ts) as start, count(*) n from s group by user_id, k"""
 
 
+# ------------------------------------------------------------ search functions and targets
+def _task_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """(task_id, repo, task_text, path): every task with each of its focus and planned paths, once."""
+    t = facts.tasks(spark, folder)
+    both = F.concat(F.coalesce("planned", F.array().cast("array<string>")), "focus")
+    return t.select("task_id", "repo", "task_text", F.explode(F.array_distinct(both)).alias("path")).where("path is not null")
+
+
+_TASK_PATHS = S.facts("tasks", "files") + ", tp as (select distinct task_id, repo, task_text, path from (select task_id, repo, task_text, unnest(list_concat(coalesce(planned, []), focus)) path from tasks) where path is not null)"
+
+
+def f11_search_score(spark: SparkSession, folder: str) -> DataFrame:
+    """How well each focus or planned path matches its task, with the reason."""
+    rows = _task_paths(spark, folder).withColumn("score", Z.search_score(F.col("task_text"), F.col("path")))
+    return rows.select("task_id", "path", "score", Z.search_reason(F.col("score")).alias("reason"))
+
+
+_DECOY = r"(?:^|\b|[._/-])(decoy|mock|old|backup|copy|fixture)(?:$|\b|[._/-])"
+_COPY = "(regexp_matches(regexp_replace({0}, '[_-]', ' ', 'g'), '" + _DECOY + "') or regexp_matches(regexp_replace({0}, '[^a-z0-9]+', '', 'g'), '(decoy|mock|backup|fixture)'))"
+SQL["f11_search_score"] = _TASK_PATHS + r""", n as (select *, lower(trim(coalesce(task_text, ''), ' ')) q, lower(trim(path, ' ')) v, list_filter(list_transform(string_split_regex(coalesce(task_text, ''), '[^A-Za-z0-9_./@-]+'), lambda t: lower(trim(t, ' '))), lambda t: length(t) >= 2) w from tp),
+    m as (select *, list_filter(list_distinct(list_concat([q], w, flatten(list_transform(list_filter(w, lambda t: regexp_matches(t, '[/.@]')), lambda t: list_filter(string_split_regex(t, '[./@-]+'), lambda p: length(p) >= 2))))), lambda t: t <> '') terms,
+        regexp_replace(string_split(rtrim(v, '/'), '/')[-1], '\.[^.]+$', '') stem, string_split_regex(v, '[^a-z0-9]+') words from n),
+    b as (select *, coalesce(list_max(list_transform(terms, lambda t: case when v = t then 10 when stem = t then 9 when list_contains(words, t) then 6 when contains(v, t) then 2 else 0 end)), 0) best from m),
+    s as (select task_id, path, case when q = '' or v = '' then 0 when """ + _COPY.format("v") + " and not " + _COPY.format("q") + """ and best < 9 then 0 else best end::int score from b)
+    select task_id, path, score, case when score >= 10 then 'exact' when score >= 9 then 'stem' when score >= 6 then 'token' when score > 0 then 'substring' else 'miss' end reason from s"""
+
+
+def f13_code_query(spark: SparkSession, folder: str) -> DataFrame:
+    """The terms of every task that look like code."""
+    return facts.tasks(spark, folder).select("task_id", Z.code_query(F.col("task_text")).alias("code"))
+
+
+SQL["f13_code_query"] = S.facts("tasks") + r""", w as (select task_id, lower(coalesce(task_text, '')) low, list_transform(string_split_regex(coalesce(task_text, ''), '[^A-Za-z0-9_./@:-]+'), lambda t: regexp_replace(t, '^[./@:-]+|[./@:-]+$', '', 'g')) ts from tasks)
+    select task_id, array_to_string(list_sort(list_distinct(list_filter(ts, lambda t: length(t) >= 3
+        and not list_contains(['add', 'and', 'project', 'change', 'choose', 'codex', 'current', 'debug', 'diff', 'dirty', 'edit', 'fix', 'focused', 'make', 'safe', 'safely', 'test', 'the', 'this', 'update', 'verify', 'verification'], lower(t))
+        and (regexp_matches(t, '[._/@:]') or contains(t, '-') and regexp_matches(low, '\b(package|dependency|dependencies|import|module|npm|pnpm|yarn|bun|plugin|config|library|lib|cli|command)\b') or regexp_matches(t, '[a-z][A-Z]') or regexp_matches(t, '[A-Z].*[0-9]|[0-9].*[A-Z]') or regexp_matches(t, '^[A-Z0-9]{3,}$')))))[1:4], ' ') code from w"""
+
+
+def f15_intent_boost(spark: SparkSession, folder: str) -> DataFrame:
+    """What each focus or planned file gains by the intents of its task."""
+    t = facts.tasks(spark, folder)
+    shown = t.select("task_id", X.intents(F.col("task_text"), X.expanded_terms(F.col("task_text"))).alias("intents"))
+    risk = facts.risks(spark, folder, ("repo", "path")).groupBy(*KEY).agg(F.sum("score").alias("risk"))
+    rows = _task_paths(spark, folder).join(shown, "task_id").join(facts.files(spark, folder).select(*KEY, "is_test", "dirty"), KEY).join(risk, KEY, "left")
+    boost = Z.intent_boost(F.col("intents"), F.col("path"), F.col("is_test"), F.col("dirty"), F.coalesce("risk", F.lit(0.0)))
+    return rows.select("task_id", "path", F.round(boost, 6).alias("boost"))
+
+
+SQL["f15_intent_boost"] = S.facts("tasks", "files", "risks") + f""", tp as (select distinct task_id, repo, task_text, path from (select task_id, repo, task_text, unnest(list_concat(coalesce(planned, []), focus)) path from tasks) where path is not null),
+    i as (select task_id, lower(coalesce(task_text, '')) || ' ' || array_to_string({S.expanded("task_text")}, ' ') j from tasks),
+    k as (select tp.task_id, tp.path, f.is_test, f.dirty, coalesce(r.s, 0.0) risk, i.j from tp join i using (task_id) join files f on f.repo = tp.repo and f.path = tp.path left join (select repo, path, sum(score) s from risks group by all) r on r.repo = tp.repo and r.path = tp.path)
+    select task_id, path, round((case when regexp_matches(j, '\\b(frontend|react|tsx|component|hook|ui|canvas|web)\\b') and (starts_with(path, 'web/') or regexp_matches(path, '\\.(tsx|jsx)$')) then 2.5 else 0 end
+        + case when regexp_matches(j, '\\b(backend|api|python|server|adapter|store|database|route)\\b') and (ends_with(path, '.py') or contains(path, '_api/') or contains(path, '/adapters/')) then 2.5 else 0 end
+        + case when regexp_matches(j, '\\b(test|verify|validation|pytest|vitest|coverage|regression)\\b') and is_test then 3 else 0 end
+        + case when regexp_matches(j, '\\b(config|env|service|script|deploy|package|manifest|init|hook|session)\\b') and regexp_matches(path, '\\.(json|toml|ya?ml|service|sh)$') then 2 else 0 end
+        + case when regexp_matches(j, '\\b(architecture|understand|overview|map|module|subsystem|competitor|sourcegraph|aider|deepwiki)\\b') and regexp_matches(path, 'src/(indexer|parser|resolver|queries|mcp|artifacts|eval|init)\\.ts$') then 4 else 0 end
+        + case when regexp_matches(j, '\\b(workflow|flow|execution|route|endpoint|job|process|queue|polling)\\b|\\b(?:workflow|dependency|call|execution)\\s+path\\b') and regexp_matches(path, '(?i)(app|route|adapter|store|execution|queue|polling|workflow|run)') then 3 else 0 end
+        + case when regexp_matches(j, '\\b(risk|security|shell|filesystem|sql|danger|unsafe|blast)\\b') and risk > 0 then least(4.0, risk / 4) else 0 end
+        + case when dirty and (regexp_matches(j, '\\b(debug|bug|fix|error|failure|broken|trace|root cause)\\b') or regexp_matches(j, '\\b(add|implement|change|update|refactor|rename|delete|modify)\\b')) then 1.5 else 0 end)::double, 6) boost from k"""
+
+
+def f18_impact_kind(spark: SparkSession, folder: str) -> DataFrame:
+    """The kind of every focus or planned path, and of which boundary it is by its name; whether its task asks for copies."""
+    known = facts.files(spark, folder).select(*KEY, F.lit(True).alias("known"))
+    rows = _task_paths(spark, folder).join(known, KEY, "left")
+    p = F.col("path")
+    return rows.select(
+        "task_id", "path", Z.impact_kind(p, F.coalesce("known", F.lit(False))).alias("kind"), Z.is_store_path(p).alias("store"), Z.is_adapter_path(p).alias("adapter"),
+        Z.is_manifest_path(p).alias("manifest"), Z.asks_for_copies(F.col("task_text")).alias("copies"),
+    )
+
+
+SQL["f18_impact_kind"] = _TASK_PATHS + f""" select t.task_id, t.path, case when starts_with(t.path, '.codex/') or regexp_matches(lower(t.path), {S.quoted(P.GENERATED)}) then 'generated' when regexp_matches(lower(t.path), {S.quoted(P.TEST)}) then 'test'
+        when regexp_matches(t.path, '\\.(md|mdx|rst|txt)$') or starts_with(t.path, 'docs/') then 'docs'
+        when regexp_matches(t.path, '\\.(json|toml|ya?ml|ini|service|env|cfg)$') or regexp_matches(t.path, '(^|/)(Dockerfile|docker-compose|package|tsconfig|vite\\.config|vitest\\.config|pyproject|requirements)') or regexp_matches(t.path, '^scripts/[^/]+\\.sh$') then 'config'
+        when f.path is not null then 'source' else 'unknown' end kind, regexp_matches(t.path, '(?i)(^|/)(store|stores|repository|repositories|db|database|models|execution|queue|run-store)(/|\\.|$)') store,
+        regexp_matches(t.path, '(?i)(^|/)adapters?/|(^|/).*adapter.*\\.(py|[cm]?[jt]sx?)$') adapter, regexp_matches(t.path, '(?i)(^|/)(packages?|manifests?)/') and ends_with(lower(t.path), '.json') manifest,
+        regexp_matches(coalesce(t.task_text, ''), '(?i)\\b(decoy|mock|fixture|backup|old|copy)\\b') copies
+    from tp t left join files f on f.repo = t.repo and f.path = t.path"""
+
+
+def j19_symbol_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """What every symbol id and name that tasks list means in their repository."""
+    s = facts.symbols(spark, folder, ("repo", "name", "qualified_name")).withColumnRenamed("repo", "scope")
+    t = table(spark, folder, "task_snapshots").where("task_id is not null").select(F.col("repo").alias("scope"), F.explode("symbol_baseline").alias("b"))
+    asked = t.select("scope", F.explode(F.array("b.symbol_id", "b.sym_name")).alias("name"))
+    got = relations.resolved_targets(asked, s)
+    return got.select(F.col("scope").alias("repo"), "name", "tier", "symbol_id", F.array_join("ambiguous", ",").alias("ambiguous"))
+
+
+SQL["j19_symbol_targets"] = S.facts("syms") + """, a as (select distinct repo, unnest([b.symbol_id, b.sym_name]) n from (select repo, unnest(symbol_baseline) b from task_snapshots where task_id is not null)),
+    c as (select repo, symbol_id n, 0 k, 'id' tier, symbol_id from syms union all select repo, qualified_name, 1, 'qualified', symbol_id from syms union all select repo, name, 2, 'name', symbol_id from syms),
+    p as (select *, row_number() over (partition by repo, n, k order by symbol_id) p from (select distinct * from c)),
+    g as (select repo, n, k, tier, list(symbol_id order by symbol_id) ids from p where p <= 20 group by all), f as (select repo, n, min_by(tier, k) tier, min_by(ids, k) ids from g group by all)
+    select a.repo, a.n as name, f.tier, case when len(f.ids) = 1 then f.ids[1] end symbol_id, case when len(f.ids) > 1 then array_to_string(f.ids, ',') end ambiguous
+    from a left join f on f.repo = a.repo and f.n = a.n where a.repo is not null and a.n is not null"""
+
+
+def _store_edges(spark: SparkSession, folder: str) -> DataFrame:
+    f, s = facts.files(spark, folder), facts.symbols(spark, folder)
+    i = facts.imports(spark, folder, ("repo", "path", "resolved")).where("resolved is not null")
+    e = facts.edges(spark, folder).where("edge_kind in ('CALLS', 'REFERENCES') and from_path is not null")
+    u = e.select("repo", F.col("from_path").alias("path"), F.lit("").alias("name"), "from_symbol", "to_symbol", "confidence")
+    stores, adapters = cut(workflows.store_files(f, s)), workflows.adapter_files(f)
+    return workflows.workflow_edges([workflows.route_store_calls(u, s, stores, i), workflows.store_adapter_calls(u, s, stores, adapters, i)])
+
+
+def g2_store_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Routes that call stores and stores that dispatch to adapters, by the calls and references of the graph."""
+    return _store_edges(spark, folder).drop("endpoint")
+
+
+_STORES = r"""rf as (select distinct repo, path from syms where kind = 'route'),
+    sn as (select distinct repo, path from syms where kind in ('class', 'function', 'method') and (regexp_matches(coalesce(name, ''), '\b(RunStore|Store|Repository|Coordinator|Database)\b|(Store|Repository|Coordinator)$') or regexp_matches(coalesce(qualified_name, ''), '\b(RunStore|Store|Repository|Coordinator|Database)\b|(Store|Repository|Coordinator)$'))),
+    st as (select repo, path from files f where (regexp_matches(path, '(?i)(^|/)(store|stores|repository|repositories|db|database|models|execution|queue|run-store)(/|\.|$)') or exists (select 1 from sn where sn.repo = f.repo and sn.path = f.path)) and not exists (select 1 from rf where rf.repo = f.repo and rf.path = f.path)),
+    ad as (select repo, path from files where regexp_matches(path, '(?i)(^|/)adapters?/|(^|/).*adapter.*\.(py|[cm]?[jt]sx?)$')),
+    u as (select repo, from_path path, from_symbol, to_symbol, confidence from edges where edge_kind in ('CALLS', 'REFERENCES') and from_path is not null)"""
+SQL["g2_store_edges"] = S.facts("files", "syms", "imps", "edges") + f""", {_STORES},
+    ds as (select u.repo, u.path, t.path to_path, t.symbol_id, u.confidence from u join syms t on t.symbol_id = u.to_symbol and t.repo = u.repo join ad on ad.repo = t.repo and ad.path = t.path join st on st.repo = u.repo and st.path = u.path),
+    e as (select u.repo, 'ROUTE_CALLS_STORE' edge_kind, r.path from_path, r.symbol_id from_symbol, t.path to_path, t.symbol_id to_symbol, {S.ordinal("u.confidence")} c, 3.0 weight
+        from u join syms r on r.symbol_id = u.from_symbol and r.kind = 'route' join syms t on t.symbol_id = u.to_symbol and t.repo = u.repo join st on st.repo = t.repo and st.path = t.path
+    union all select repo, 'STORE_DISPATCHES_ADAPTER', path, null, to_path, symbol_id, {S.ordinal("confidence")}, 3.2 from ds
+    union all select distinct i.repo, 'STORE_DISPATCHES_ADAPTER', i.path, null, i.resolved, null, 1, 2.4 from imps i join st on st.repo = i.repo and st.path = i.path join ad on ad.repo = i.repo and ad.path = i.resolved
+        where not exists (select 1 from ds where ds.repo = i.repo and ds.path = i.path and ds.to_path = i.resolved))
+    select repo, edge_kind, from_path, from_symbol, to_path, to_symbol, ['authoritative', 'derived', 'heuristic'][min(c) + 1] confidence, max(weight)::double weight from e group by repo, edge_kind, from_path, from_symbol, to_path, to_symbol"""
+
+
+def q9_workflow_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 files of every repository that take most part in workflows, with the kinds of their edges."""
+    rows = workflows.workflow_paths(_store_edges(spark, folder)).withColumn("weight", F.round("weight", 6))
+    best = ranking.top_k(rows, ["repo"], [F.col("weight").desc(), F.col("edges").desc(), F.col("path").asc()], 20)
+    return best.select("repo", "path", F.array_join("kinds", ",").alias("kinds"), "edges", "weight", "place")
+
+
+SQL["q9_workflow_files"] = f"""with w as ({SQL["g2_store_edges"]}), x as (select repo, edge_kind, weight, unnest(list_distinct([from_path, to_path])) path from w),
+    s as (select repo, path, string_agg(distinct edge_kind, ',' order by edge_kind) kinds, count(*)::bigint edges, round(sum(weight), 6)::double weight from x where path is not null group by all)
+    select * from (select *, row_number() over (partition by repo order by weight desc, edges desc, path)::int place from s) where place <= 20"""
+
+
 QUERIES = {n: f for n, f in globals().items() if callable(f) and n[0] in "fauwqjgxstve" and (n[1:2].isdigit() or n in ("v_ledger", "t_windows", "t_sessions"))}
