@@ -994,6 +994,14 @@ def q11_fanout(spark: SparkSession, folder: str) -> DataFrame:
     return packets.split_fanout(rows).select("query", "path", "read_first", "place")
 
 
+SQL["q11_fanout"] = f"""with im as ({SQL["q10_impact"]}), rk as ({_RANKED} select repo, path, is_test, round(risk, 6) risk, round(rank, 6) rank from ranked), tk as ({S.facts("tasks")} select task_id, repo, change_type from tasks),
+    a as (select im.task_id query, im.path, tk.change_type, {S.ordinal("im.confidence")} tier, rk.risk, rk.rank, case when im.depth = 0 then 0 when rk.is_test then 1 else 2 end g from im join tk using (task_id) join rk on rk.repo = tk.repo and rk.path = im.path),
+    w as (select *, row_number() over (partition by query, g order by tier, risk desc, rank desc, path) n from a),
+    l as (select *, g = 1 and n > case when change_type = 'style' then 3 else 6 end late from w),
+    p as (select *, row_number() over (partition by query order by late, g, tier, risk desc, rank desc, path)::int place from l)
+    select query, path, not late and place <= case when change_type = 'style' then 8 when change_type in ('api', 'rename', 'delete') then 24 else 14 end read_first, place from p"""
+
+
 def q2_search(spark: SparkSession, folder: str) -> DataFrame:
     """Files for every task: those that hold one of its text's search terms literally, then those of best term rank."""
     t = facts.tasks(spark, folder).where("repo is not null")

@@ -109,6 +109,24 @@ SQL = {
         select distinct 'import_edges', record_id, 'resolved_path', ref_key from files
         where ref_key <> '' and not exists (select 1 from source_files s where s.repo = files.repo and s.file_path = ref_key and s.indexed_at <= t and (s.deleted_at is null or s.deleted_at > t))
     """,
+    "p2_report": r"""
+        with refs as (
+            select 'graph_edges' src_table, edge_id record_id, 'from_symbol_id' ref_field, lower(regexp_replace(from_symbol_id, '^\s+|\s+$', '', 'g')) ref_key, indexed_at t from graph_edges
+            union
+            select 'graph_edges', edge_id, 'to_symbol_id', lower(regexp_replace(to_symbol_id, '^\s+|\s+$', '', 'g')), indexed_at from graph_edges
+            union
+            select 'task_snapshots', task_id, 'symbol_baseline', lower(regexp_replace(s.symbol_id, '^\s+|\s+$', '', 'g')), created_at
+            from (select task_id, created_at, unnest(symbol_baseline) s from task_snapshots)),
+        files as (
+            select distinct import_id record_id, repo, regexp_replace(replace(regexp_replace(resolved_path, '^\s+|\s+$', '', 'g'), '\', '/'), '^(\./+)+', '') ref_key, indexed_at t from import_edges),
+        lost as (
+            select src_table, record_id, ref_field, ref_key, t from refs
+            where ref_key <> '' and not exists (select 1 from symbols s where s.symbol_id = ref_key and s.indexed_at <= t and (s.deleted_at is null or s.deleted_at > t))
+            union all
+            select 'import_edges', record_id, 'resolved_path', ref_key, t from files
+            where ref_key <> '' and not exists (select 1 from source_files s where s.repo = files.repo and s.file_path = ref_key and s.indexed_at <= t and (s.deleted_at is null or s.deleted_at > t)))
+        select src_table, ref_field, (year(t) * 12 + month(t) - 1)::int period, count(*) orphans, count(distinct ref_key) missing_keys from lost group by all
+    """,
     "p4_found": r"""
         with snaps as (select distinct repo_root, snapshot_id, snap_seq from freshness where not coalesce(index_missing, false)),
         linked as (select *, lag(snapshot_id) over (partition by repo_root order by snap_seq, snapshot_id) prev from snaps),

@@ -97,7 +97,7 @@ USED = f"""{EDGES}, used as (select repo, from_path path, count(*) n from edges
 RANKED = USED + """, parts as (select f.*, log2(coalesce(c.n, 0) + 1) centrality, least(coalesce(s.n, 0), 20) / 4 symbol_part,
     case when contains(f.path, '/api/') or contains(f.path, 'app.') or contains(f.path, 'index.') then 2.0 else 0.0 end surface,
     case when f.is_test then 0.5 when k.path is not null then 1.5 else 0.0 end near_tests, case when f.dirty then 3.0 else 0.0 end dirt,
-    least(coalesce(r.s, 0.0), 12.0) risk_part, case when f.generated then -2.0 else 0.0 end made, log2(coalesce(u.n, 0) + 1) usage, 0.0 churn, coalesce(o.b, 0.0) outcome
+    least(coalesce(r.s, 0.0), 12.0) risk_part, case when f.generated then -2.0 else 0.0 end made, coalesce(r.s, 0.0) risk, log2(coalesce(u.n, 0) + 1) usage, 0.0 churn, coalesce(o.b, 0.0) outcome
     from files f left join (select repo, resolved path, count(*) n from imps where resolved is not null group by all) c on c.repo = f.repo and c.path = f.path
     left join (select repo, path, count(*) n from syms group by all) s on s.repo = f.repo and s.path = f.path
     left join (select repo, path, sum(score) s from risks group by all) r on r.repo = f.repo and r.path = f.path
