@@ -58,6 +58,8 @@ SHARED = [0.55, 0.10, 0.05, 0.28, 0.02]
 #: rest has labels as common as anywhere. Ordinary directories hold anything, the others are nearly pure.
 TOGETHER = {"file": [0.2, 0.8, 0.8, 0.85, 0.8], "dir": [0.3, 0.9, 0.9, 0.95, 0.9]}
 
+#: Texts handled at once, so that a batch of long ones stays small in memory.
+AT_ONCE = 512
 FEATURED = "file_id long, repo string, dir string, body string, size int, bins array<int>"
 
 
@@ -199,7 +201,7 @@ def file_features(files: DataFrame) -> DataFrame:
     """FEATURED: each file with text, once; texts are read here only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, AT_ONCE) for whole in batches for at in range(0, whole.num_rows, AT_ONCE)):
             rows = []
             for i, repo, path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 clean = (path or "").replace("\\", "/").removeprefix("./")
