@@ -7,7 +7,7 @@ import random
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.session import cut
@@ -49,6 +49,26 @@ def pivotal(sizes: list[int], p: list[float], rng: random.Random) -> list[float]
     return out
 
 
+def pivotal_chain(sizes: list[int], p: float, rng: random.Random) -> list[float]:
+    """Round items of one probability, largest first, each paired with all that follow it as one bundle.
+
+    A bundle is an item of the size of its members, which share its probability; a pairing is as in ``pivotal``. If
+    the item becomes integral, the next one meets the rest of the bundle; if the bundle does, all its members are
+    settled and the item stays open. At most one is open in the end, the last one unless an item was too large for
+    all after it together. Means and the expected size are kept.
+    """
+    out, rest = [], sum(sizes)
+    for at, size in enumerate(sizes):
+        p, rest = settle(p), rest - size
+        if p in (0.0, 1.0) or rest <= 0:
+            return out + [p] * (len(sizes) - at)
+        up, down = min((1 - p) * size, p * rest), min(p * size, (1 - p) * rest)
+        move = up if rng.random() * (up + down) < down else -down
+        out.append(settle(p + move / size))
+        p -= move / rest
+    return out
+
+
 def plan_mix(sizes: dict[str, tuple[int, int]], targets: dict[str, tuple[float, int]], total: float | None = None) -> dict[str, float]:
     """Copies per document (a real number up to max_repeats) of each source.
 
@@ -69,11 +89,11 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total: float | None = None,
     ``docs`` has (doc_id, source, n_tokens), ``targets`` (source, target_share, max_repeats). A document delivered
     repeatedly counts once (with its greatest size and source). Documents without tokens, of no source or of a
     source without target are not in the mix. Each document gets the whole part of its source's copies; the
-    fractional parts are rounded by pairs: in leaves of about LEAF documents of like size, at most one residual per
-    leaf going up a tree of fan-out FAN in which, too, the largest meet first, and the last one of a source is
-    rounded by chance. Every document keeps its mean, and a source is off its target by less than one document: the
-    last open one, which is small, as the sizes met in falling order. The outcome depends on ``seed`` and the
-    documents only, not on partitions.
+    fractional parts are rounded by pairs: in leaves of about LEAF documents, largest first, each with all smaller ones
+    as a bundle; at most one residual per leaf, its smallest document unless one outweighs all others, goes up a tree
+    of fan-out FAN, and the last one of a source is rounded by chance. Every document keeps its mean, and a source is
+    off its target by less than its last open document. The outcome depends on ``seed`` and the documents only, not
+    on partitions.
     """
     plan_rows = targets.where("source is not null").groupBy("source").agg(
         F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats")
@@ -89,25 +109,23 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total: float | None = None,
     schema = "source string, whole double, part double, leaves bigint"
     plan = F.broadcast(docs.sparkSession.createDataFrame(shape, schema))  # at most MOST_TARGETS rows
     placed = once.join(plan, "source").withColumn("n_tokens", F.col("n_tokens").cast("bigint"))
-    # classes of size (powers of two, largest first) each get leaves of their own, as many as they need
-    placed = placed.withColumn("size", F.lit(63) - F.floor(F.log2("n_tokens")).cast("bigint"))
-    classes = placed.groupBy("source", "size").agg(F.ceil(F.count("*") / LEAF).alias("own"))  # at most 64 rows a source
-    order = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    classes = F.broadcast(classes.withColumn("first", F.coalesce(F.sum("own").over(order), F.lit(0))))
-    spread = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("own"))
-    state = placed.join(classes, ["source", "size"]).select("source", (F.col("first") + spread).alias("node"), "doc_id", "n_tokens", F.col("part").alias("p"))
+    # a leaf holds documents of all sizes, so that its largest ones trade with many small ones before they are left over
+    node = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("leaves"))
+    state = placed.select("source", node.alias("node"), "doc_id", "n_tokens", F.col("part").alias("p"))
 
     def round_at(level: int):  # noqa: ANN202
         def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
             part = part.sort_values(["n_tokens", "doc_id"], ascending=[False, True]).reset_index(drop=True)
             rng = random.Random(f"{seed}/{level}/{key[0]}/{key[1]}")
-            part["p"] = pivotal(part["n_tokens"].tolist(), part["p"].tolist(), rng)
+            sizes, p = part["n_tokens"].tolist(), part["p"].tolist()
+            # the documents of a leaf begin with one probability
+            part["p"] = pivotal(sizes, p, rng) if level else pivotal_chain(sizes, p[0], rng)
             return part[["source", "node", "doc_id", "n_tokens", "p"]]
 
         return run
 
     state = cut(state.groupBy("source", "node").applyInPandas(round_at(0), ROUNDED))
-    most = max((math.ceil(r["docs"] / LEAF) for r in sums.values()), default=1) + 64  # nodes of a source at most
+    most = max((math.ceil(r["docs"] / LEAF) for r in sums.values()), default=1)  # nodes of a source at most
     done, width, level = [state.where("p in (0, 1)")], most, 1
     left = state.where("p not in (0, 1)")
     while width > 1:

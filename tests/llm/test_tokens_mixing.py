@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quarryline.llm import tokens
-from quarryline.llm.mixing import mix_sources, pivotal, plan_mix, shares
+from quarryline.llm.mixing import mix_sources, pivotal, pivotal_chain, plan_mix, shares
 
 PATH = tokens.vocabulary_path()
 ENCODE = tokens.encoding(PATH).encode_ordinary
@@ -90,6 +90,17 @@ def test_pivotal_keeps_means_and_sums():
     assert mean == pytest.approx(p, abs=0.03)
 
 
+def test_chains_keep_means_and_sums():
+    for sizes, p in (([9, 4, 2, 2, 1], 0.4), ([100, 3, 2], 0.7), ([5], 0.3), ([3, 3, 3], 0.5)):
+        mean = [0.0] * len(sizes)
+        for seed in range(4000):
+            out = pivotal_chain(sizes, p, random.Random(seed))
+            assert len(out) == len(sizes) and sum(0 < x < 1 for x in out) <= 1 and all(0 <= x <= 1 for x in out)
+            assert sum(s * x for s, x in zip(sizes, out, strict=True)) == pytest.approx(p * sum(sizes))
+            mean = [m + x / 4000 for m, x in zip(mean, out, strict=True)]
+        assert mean == pytest.approx([p] * len(sizes), abs=0.03)
+
+
 def test_every_document_keeps_its_mean_and_every_source_its_share(spark):
     """Over seeds, one document of half a source's tokens and many small ones come up as often as planned; in each
     mix a source is off its target by less than its smallest document's class allows, whatever the heavy one does."""
