@@ -63,3 +63,29 @@ def test_bm25_of_blocks(spark, small, asked):
     for q in {q for q, _ in want}:
         best = sorted((-round(s, 6), d) for (p, d), (s, _) in want.items() if p == q)[:3]
         assert sorted((-r.score, r.doc) for r in top if r.query == q)[:3] == best
+
+
+def test_symbol_lane_of_blocks(spark, small, asked):
+    rng = random.Random(5)
+    names = [*("".join(w.capitalize() for w in rng.choices(WORDS, k=2)) for _ in range(20)), "queues_x", "repolling", "a", "", "code system", "décodeQueue"]
+    path = {n: f"src/{rng.choice(WORDS)}/f{n}.py" for n in range(40)}
+    syms = [(f"{n}", rng.choice("rs"), path[rng.randrange(40)], rng.choice(names), rng.choice([None, *names]), rng.random() < 0.5) for n in range(150)]
+    symbols = spark.createDataFrame(syms, "symbol_id string, repo string, path string, name string, qualified_name string, exported boolean")
+    imps = [(f"{n}", rng.choice("rs"), path[rng.randrange(40)], rng.choice(names), None, rng.choice([None, *names]), None) for n in range(100)]
+    imports = spark.createDataFrame(imps, "import_id string, repo string, path string, specifier string, imported_name string, local_name string, resolved string")
+    used = [(rng.choice("rs"), path[rng.randrange(40)], x, x, rng.randint(1, 3)) for x in names for _ in range(4)]
+    usages = spark.createDataFrame(used, "repo string, path string, name string, text string, n long").distinct()
+    df = retrieve.symbol_lane(asked, symbols, imports, usages)
+    assert not shuffles_pairs(df)
+    got = {(r.query, r.doc): r.score for r in df.collect()}
+    one = lambda c: X.match_score(F.col("text"), F.col("terms"), c)
+
+    def parts(df, add, n, *values):
+        df = df.withColumnRenamed("text", "value")
+        best = F.greatest(*(F.when(F.col(v).isNull(), 0.0).otherwise(one(F.col(v))) for v in values), F.lit(0.0))
+        return df.join(asked, F.col("repo") == F.col("scope")).withColumn("b", best).where("b > 0").select("query", "path", (n * F.greatest(F.lit(0.0), F.col("b") + add)).alias("s"))
+
+    every = parts(symbols, F.when(F.col("exported"), 4.0).otherwise(1.0), F.lit(1), "name", "qualified_name", "path")
+    every = every.union(parts(imports, F.lit(1.0), F.lit(1), "specifier", "local_name")).union(parts(usages, F.lit(-1.0), F.col("n"), "name", "value", "path"))
+    want = {(r["query"], r.path): r.s for r in every.groupBy("query", "path").agg(F.sum("s").alias("s")).where("s > 0").collect()}
+    assert got == want and len(got) > 200
