@@ -89,3 +89,14 @@ def test_symbol_lane_of_blocks(spark, small, asked):
     every = every.union(parts(imports, F.lit(1.0), F.lit(1), "specifier", "local_name")).union(parts(usages, F.lit(-1.0), F.col("n"), "name", "value", "path"))
     want = {(r["query"], r.path): r.s for r in every.groupBy("query", "path").agg(F.sum("s").alias("s")).where("s > 0").collect()}
     assert got == want and len(got) > 200
+
+
+def test_exact_lane_of_blocks(spark, small, asked):
+    rng = random.Random(6)
+    files = spark.createDataFrame([(s, f"{rng.choice(WORDS)}/{'_'.join(rng.choices(WORDS, k=rng.randint(1, 3)))}.py") for s in "rs" for _ in range(40)], "repo string, path string").distinct()
+    df = retrieve.exact_lane(asked, files)
+    assert not shuffles_pairs(df)
+    got = {(r.query, r.doc): r.score for r in df.collect()}
+    best = F.greatest(*(X.match_score(F.col("text"), F.col("terms"), v) for v in (F.col("path"), retrieve.base_name(F.col("path")), retrieve.stem(F.col("path")))))
+    want = {(r["query"], r.path): r.s + 8 for r in files.join(asked, F.col("repo") == F.col("scope")).withColumn("s", best).where("s >= 6").collect()}
+    assert got == want and got
