@@ -3,13 +3,16 @@
 import random
 from collections import Counter
 from math import log
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as X
 from quarryline.operators import pairs, retrieve
+from quarryline.plans import analysis as A
 
+SMALL = Path("/root/testdata/sf0.001")
 WORDS = "queue poll run status hook planner quota tenant cache parse".split()
 
 
@@ -100,3 +103,21 @@ def test_exact_lane_of_blocks(spark, small, asked):
     best = F.greatest(*(X.match_score(F.col("text"), F.col("terms"), v) for v in (F.col("path"), retrieve.base_name(F.col("path")), retrieve.stem(F.col("path")))))
     want = {(r["query"], r.path): r.s + 8 for r in files.join(asked, F.col("repo") == F.col("scope")).withColumn("s", best).where("s >= 6").collect()}
     assert got == want and got
+
+
+@pytest.mark.skipif(not SMALL.exists(), reason="no test tables here")
+def test_fusion_is_that_of_whole_lanes(spark):
+    q, r = A._queries(spark, str(SMALL)), A.ranked(spark, str(SMALL)).cache()
+    ranks = r.select(F.col("repo").alias("scope"), F.col("path").alias("doc"), "rank")
+    lanes = {"exact": retrieve.exact_lane(q, r), "symbol": A._symbol_lane(spark, str(SMALL)), "bm25": A._bm25(spark, str(SMALL)).drop("matched"), "dirty": retrieve.dirty_lane(q, r)}
+    lanes = {name: lane.cache() for name, lane in lanes.items()}
+    lanes["graph"] = retrieve.graph_lane(retrieve.fuse(lanes, ranks), A.facts.imports(spark, str(SMALL)), A.facts.edges(spark, str(SMALL)))
+    want = {}
+    for x in retrieve.fuse(lanes, ranks).collect():
+        want.setdefault(x.query, []).append((-round(x.score, 6), x.doc, x.lanes))
+    df = A.q1i_fusion(spark, str(SMALL))
+    assert not shuffles_pairs(df)
+    got = {}
+    for x in sorted(df.collect(), key=lambda x: x.place):
+        got.setdefault(x.query, []).append((-x.score, x.doc, x.lanes))
+    assert got == {k: sorted(v)[:20] for k, v in want.items()}
