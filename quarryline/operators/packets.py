@@ -52,8 +52,10 @@ def split_fanout(affected: DataFrame) -> DataFrame:
 
 def combined_search(raw: DataFrame, ranked: DataFrame, limit: int = 20, few_files: int = 3, few_hits: int = 20) -> DataFrame:
     """(query, path, origin, place): raw hits (query, path, hits) first and then ranked files (query, path, score); a
-    query whose raw hits are few is answered by them alone."""
-    size = raw.groupBy("query").agg(F.count("*").alias("files"), F.sum("hits").alias("all_hits"))
+    query whose raw hits are few is answered by them alone. ``raw`` may hold only the first hits of a query, if it says
+    in ``files`` and ``all_hits``, summed over these, how many there are."""
+    sums = (F.sum("files"), F.sum("all_hits")) if "files" in raw.columns else (F.count("*"), F.sum("hits"))
+    size = raw.groupBy("query").agg(sums[0].alias("files"), sums[1].alias("all_hits"))
     enough = size.where((F.col("files") <= few_files) & (F.col("all_hits") <= few_hits)).select("query").withColumn("_enough", F.lit(True))
     a = raw.select("query", "path", F.lit("raw").alias("origin"), F.lit(0).alias("o"), F.col("hits").cast("double").alias("s"))
     b = ranked.join(enough, "query", "left_anti").select("query", "path", F.lit("ranked").alias("origin"), F.lit(1).alias("o"), F.col("score").alias("s"))

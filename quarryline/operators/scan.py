@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions.paths import is_generated, is_public, is_test, language_of
+from quarryline.operators import pairs
 from quarryline.operators.ranking import top_k
 from quarryline.session import cut
 
@@ -118,28 +119,20 @@ def raw_search(files: DataFrame, patterns: list[str], per_file: int = 25, width:
     return top_k(found.distinct(), ["repo", "path", "pattern"], [F.col("line_no").asc()], per_file)
 
 
-def literal_hits(files: DataFrame, asked: DataFrame, per_file: int = 25) -> DataFrame:
+def literal_hits(files: DataFrame, asked: DataFrame, per_file: int = 25, top: int | None = None) -> DataFrame:
     """(query, path, hits): on how many lines a file (repo, path, text) holds a term of a query (query, repo, term)
-    literally, also inside words, at most ``per_file``.
+    literally, also inside words, at most ``per_file``. With ``top`` only the files that can be among the first so many
+    of a query by hits and then by path, and a few others, with ``files`` and ``all_hits``, whose sums over a query's
+    rows are the number of its files and of their hits.
 
-    Terms consist of letters, digits and ``_.@/-``, so they lie within one run of these. Distinct runs meet the terms
-    by pieces of 3 characters, of 6 where the term is that long, and contains() decides. Lines with the same terms are
-    counted together before they meet the queries.
+    Terms consist of letters, digits and ``_.@/-``, so they lie within one run of these. Each distinct run of a block of
+    texts is looked up once.
     """
-    runs = lines_of(files).select("repo", "path", "line_no", F.explode(F.array_distinct(F.filter(F.split("line", "[^A-Za-z0-9_.@/-]+"), lambda w: F.length(w) >= 3))).alias("run"))
-
-    def pieces(n: int) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.greatest(F.length("run") - (n - 1), F.lit(1))), lambda i: F.substring("run", i, F.lit(n)))
-        return F.filter(each, lambda x: F.length(x) == n)
-
-    vocabulary = runs.select("repo", "run").distinct().select("repo", "run", F.explode(F.array_distinct(F.concat(pieces(3), pieces(6)))).alias("key"))
-    terms = asked.select("repo", "term").distinct().withColumn("key", F.substring("term", 1, 3))
-    terms = terms.withColumn("key", F.when(F.length("term") >= 6, F.substring("term", 1, 6)).otherwise(F.col("key")))
-    held = cut(terms.join(vocabulary, ["repo", "key"]).where(F.contains(F.col("run"), F.col("term"))).groupBy("repo", "run").agg(F.collect_set("term").alias("terms")))
-    lines = runs.join(held, ["repo", "run"]).groupBy("repo", "path", "line_no").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("terms")))).alias("terms"))
-    sets = lines.groupBy("repo", "path", "terms").agg(F.count("*").alias("n"))
-    met = sets.select("repo", "path", "terms", "n", F.explode("terms").alias("term")).join(asked, ["repo", "term"]).select("query", "path", F.xxhash64("terms").alias("lines"), "n").distinct()
-    return met.groupBy("query", "path").agg(F.least(F.lit(per_file), F.sum("n")).cast("long").alias("hits"))
+    docs = files.where("text is not null").groupBy(F.col("repo").alias("scope"), F.col("path").alias("doc")).agg(F.collect_set("text").alias("texts"), F.sum(F.length("text")).alias("n"))
+    queries = asked.groupBy("query", F.col("repo").alias("scope")).agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    grid = pairs.cells(cut(docs), queries, 2_000_000)
+    found = pairs.scored(grid, pairs.literal_rows(per_file, top), "hits long" + ", files long, all_hits long" * bool(top))
+    return found.drop("scope").withColumnRenamed("doc", "path")
 
 
 def markdown_headings(files: DataFrame) -> DataFrame:
