@@ -121,3 +121,10 @@ def test_fusion_is_that_of_whole_lanes(spark):
     for x in sorted(df.collect(), key=lambda x: x.place):
         got.setdefault(x.query, []).append((-x.score, x.doc, x.lanes))
     assert got == {k: sorted(v)[:20] for k, v in want.items()}
+
+
+@pytest.mark.skipif(not SMALL.exists(), reason="no test tables here")
+@pytest.mark.parametrize("name", ["e1_scenarios", "q2_search", "q1c_bound_symbols"])
+def test_pairs_stay_in_their_tasks(spark, name):
+    df = A.QUERIES[name](spark, str(SMALL))
+    assert "MapInArrow" in df._jdf.queryExecution().executedPlan().toString() and not shuffles_pairs(df)
