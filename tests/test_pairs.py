@@ -128,3 +128,11 @@ def test_fusion_is_that_of_whole_lanes(spark):
 def test_pairs_stay_in_their_tasks(spark, name):
     df = A.QUERIES[name](spark, str(SMALL))
     assert "MapInArrow" in df._jdf.queryExecution().executedPlan().toString() and not shuffles_pairs(df)
+
+
+@pytest.mark.skipif(not SMALL.exists(), reason="no test tables here")
+def test_only_covered_files_are_asked_for_as_seeds(spark, monkeypatch):
+    seen, keep = [], retrieve.matched
+    monkeypatch.setattr(retrieve, "matched", lambda lists, *rest: (seen.append({(r.scope, r.doc) for r in lists.select("scope", "doc").collect()}), keep(lists, *rest))[1])
+    A.q1f_tests(spark, str(SMALL))
+    assert seen[0] and seen[0] <= {(r.repo, r.target) for r in A.tested(spark, str(SMALL)).collect()}
