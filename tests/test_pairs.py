@@ -4,7 +4,10 @@ import random
 from collections import Counter
 from math import log
 from pathlib import Path
+from time import process_time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +139,44 @@ def test_only_covered_files_are_asked_for_as_seeds(spark, monkeypatch):
     monkeypatch.setattr(retrieve, "matched", lambda lists, *rest: (seen.append({(r.scope, r.doc) for r in lists.select("scope", "doc").collect()}), keep(lists, *rest))[1])
     A.q1f_tests(spark, str(SMALL))
     assert seen[0] and seen[0] <= {(r.repo, r.target) for r in A.tested(spark, str(SMALL)).collect()}
+
+
+def cell():
+    """Documents with 12 items each of two values, and queries, as a cell has them."""
+    rng = random.Random(7)
+    names = ["_".join(rng.choices(WORDS, k=3)) + str(n) for n in range(6_000)]
+    one = lambda: dict(values=rng.sample(names, 2), own=rng.random() < 0.5, add=rng.choice([1.0, 4.0, -1.0]), n=rng.choice([1, 1, 3]))
+    docs = pa.array([dict(doc=f"src/{rng.choice(WORDS)}/f{d}.py", items=[one() for _ in range(12)]) for d in range(2_000)])
+    texts = ["rename " + "_".join(rng.choices(WORDS, k=3)) for _ in range(160)]
+    return docs, pa.array([dict(query=k, text=t, terms=sorted({"rename", *t.split()[1].split("_")})) for k, t in enumerate(texts)])
+
+
+def test_items_take_less_time_than_a_few_passes_for_each_query():
+    docs, queries = cell()
+
+    def seconds(job):
+        began = process_time()
+        job()
+        return process_time() - began
+
+    doc, worth = np.repeat(np.arange(2_000), 12), np.ones(24_000)
+    items = min(seconds(lambda: sum(len(x[1]) for x in pairs.item_rows()(docs, queries))) for _ in range(3)) - min(seconds(lambda: pairs.Items(docs, queries)) for _ in range(3))
+    passes = min(seconds(lambda: [np.bincount(doc, worth) for _ in range(6 * 160)]) for _ in range(3))
+    assert items < passes
+
+
+def test_documents_of_many_items_and_odd_sums():
+    words = [f"{a}_{b}" for a in WORDS for b in WORDS]
+    for adds in ((1.0, 4.0, -1.0, 0.0), (0.3, -0.2), (200.0,)):
+        rng = random.Random(8)
+        items = [[dict(values=rng.sample(words, rng.randint(0, 2)), own=False, add=rng.choice(adds), n=rng.choice([1, 2, 5])) for _ in range(m)] for m in (0, 300, 1, 64, 65, 200)]
+        docs = pa.array([dict(doc=f"d{d}", items=x) for d, x in enumerate(items)])
+        queries = pa.array([dict(query=k, text=t, terms=t.split()) for k, t in enumerate(["", "queue poll", "hook", "tenant quota cache", "oll"])])
+        value = {w: pairs.Matches([w], queries).scores(0, 5)[0] / 2 for w in words}
+        got = {(k, d): round(s, 6) for k, hit, score in pairs.item_rows()(docs, queries) for d, s in zip(hit.tolist(), score.tolist(), strict=True)}
+        want = Counter()
+        for d, x in enumerate(items):
+            for k in range(5):
+                best = [(max((value[v][k] for v in i["values"]), default=0), i) for i in x]
+                want[k, d] = round(sum(i["n"] * max(0.0, b + i["add"]) for b, i in best if b > 0), 6)
+        assert got == {k: s for k, s in want.items() if s > 0} and len(got) > 8
