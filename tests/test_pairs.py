@@ -180,3 +180,10 @@ def test_documents_of_many_items_and_odd_sums():
                 best = [(max((value[v][k] for v in i["values"]), default=0), i) for i in x]
                 want[k, d] = round(sum(i["n"] * max(0.0, b + i["add"]) for b, i in best if b > 0), 6)
         assert got == {k: s for k, s in want.items() if s > 0} and len(got) > 8
+
+
+@pytest.mark.skipif(not SMALL.exists(), reason="no test tables here")
+@pytest.mark.parametrize("name", ["q1b_exact"])
+def test_rows_go_out_as_they_leave_their_tasks(spark, name):
+    df = A.QUERIES[name](spark, str(SMALL))
+    assert df.columns == ["query", "doc", "score"] and df._jdf.queryExecution().optimizedPlan().nodeName() == "MapInArrow"
