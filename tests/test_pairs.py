@@ -187,3 +187,15 @@ def test_documents_of_many_items_and_odd_sums():
 def test_rows_go_out_as_they_leave_their_tasks(spark, name):
     df = A.QUERIES[name](spark, str(SMALL))
     assert df.columns == ["query", "doc", "score"] and df._jdf.queryExecution().optimizedPlan().nodeName() == "MapInArrow"
+
+
+@pytest.mark.skipif(not SMALL.exists(), reason="no test tables here")
+def test_scenarios_take_both_rankings_from_one_pass(spark):
+    df = A.e1_scenarios(spark, str(SMALL))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    t = A.facts.tasks(spark, str(SMALL)).where(F.size("planned") > 0).select(F.col("task_id").alias("query"), F.array_distinct("planned").alias("expected"))
+    terms = A.ranking.top_k(A._bm25(spark, str(SMALL), digits=6), ["query"], [F.col("score").desc(), F.col("doc").asc()], 20)
+    lists = [x.groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "doc"))), lambda y: y["doc"]).alias(n)) for x, n in ((A.q1i_fusion(spark, str(SMALL)), "found"), (terms, "baseline"))]
+    none = F.array().cast("array<string>")
+    s = t.join(lists[0], "query", "left").join(lists[1], "query", "left").select(F.col("query").alias("scenario"), "expected", F.coalesce("found", none).alias("found"), F.coalesce("baseline", none).alias("baseline"), *(none.alias(n) for n in ("tests_found", "tests_expected", "forbidden")), F.lit(0.0).alias("min_recall"))
+    assert sorted(map(str, df.collect())) == sorted(map(str, A.evaluate.score_scenarios(s).collect()))
