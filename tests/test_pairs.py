@@ -183,7 +183,7 @@ def test_documents_of_many_items_and_odd_sums():
 
 
 @pytest.mark.skipif(not SMALL.exists(), reason="no test tables here")
-@pytest.mark.parametrize("name", ["q1b_exact"])
+@pytest.mark.parametrize("name", ["q1b_exact", "q1c_bound_symbols"])
 def test_rows_go_out_as_they_leave_their_tasks(spark, name):
     df = A.QUERIES[name](spark, str(SMALL))
     assert df.columns == ["query", "doc", "score"] and df._jdf.queryExecution().optimizedPlan().nodeName() == "MapInArrow"
