@@ -165,6 +165,29 @@ def test_items_take_less_time_than_a_few_passes_for_each_query():
     assert items < passes
 
 
+def test_texts_are_reduced_all_at_once():
+    rng = random.Random(9)
+    pieces = [*"abAB09_- .\n\0/éİKß", "queue", "Poll", "PollHTTP"]
+    texts = [None, "", " ", " a", "a ", "A", "aB", "é", "Z9a", *("".join(rng.choices(pieces, k=rng.randint(0, 9))) for _ in range(3_000))]
+    for some in (pa.array(texts), pa.array(texts).slice(4), pa.array([], pa.string()), pa.array([None], pa.null())):
+        assert pairs._plains(some).tobytes().decode() == "".join(pairs._plain(t) + "\n" for t in some.to_pylist())
+
+
+def test_values_are_read_in_less_time_than_one_by_one():
+    rng = random.Random(10)
+    texts = [f"src/{rng.choice(WORDS)}/{rng.choice(WORDS)}{rng.choice(WORDS).capitalize()}_{rng.getrandbits(20):x}.py" for _ in range(30_000)]
+    docs = pa.array([dict(doc=t, items=[dict(values=[t.split("/")[-1]], own=True, add=0.0, n=1)]) for t in texts])
+    queries = pa.array([dict(query=k, text=f"rename {a}_{b}", terms=sorted({"rename", a, b})) for k, (a, b) in enumerate((a, b) for a in WORDS for b in WORDS)])
+
+    def seconds(job):
+        began = process_time()
+        job()
+        return process_time() - began
+
+    one = min(seconds(lambda: [pairs._plain(t) for _ in range(2) for t in texts]) for _ in range(3))
+    assert min(seconds(lambda: pairs.Items(docs, queries)) for _ in range(3)) < 1.5 * one
+
+
 def test_documents_of_many_items_and_odd_sums():
     words = [f"{a}_{b}" for a in WORDS for b in WORDS]
     for adds in ((1.0, 4.0, -1.0, 0.0), (0.3, -0.2), (200.0,)):
