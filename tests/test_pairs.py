@@ -212,6 +212,26 @@ def test_rows_go_out_as_they_leave_their_tasks(spark, name):
     assert df.columns == ["query", "doc", "score"] and df._jdf.queryExecution().optimizedPlan().nodeName() == "MapInArrow"
 
 
+@pytest.mark.skipif(not SMALL.exists(), reason="no test tables here")
+def test_bound_names_come_from_the_same_reading_of_imports(spark, monkeypatch):
+    seen, keep = [], retrieve.matched
+    monkeypatch.setattr(retrieve, "matched", lambda lists, *rest, **more: (seen.append(lists._jdf.queryExecution().executedPlan().toString()), keep(lists, *rest, **more))[1])
+    A.q1c_bound_symbols(spark, str(SMALL))
+    assert seen[0].count("FileScan parquet") == 2 and seen[0].count("hashpartitioning(scope") == 1
+
+
+def test_bound_names_are_usages(spark):
+    q = spark.createDataFrame([(1, "r", "queue", ["queue"])], "query long, scope string, text string, terms array<string>")
+    symbols = spark.createDataFrame([], "symbol_id string, repo string, path string, name string, qualified_name string, exported boolean")
+    rows = [("r", "a.py", "x", None, "queue", None), ("r", "a.py", "y", None, "queue", None), ("r", "b.py", "z", None, None, None), ("r", "c.py", "my_queue", None, None, None), ("r", "queue/d.py", None, None, None, None), ("r", "queue/e.py", None, None, "z", None)]
+    imports = spark.createDataFrame(rows, "repo string, path string, specifier string, imported_name string, local_name string, resolved string")
+    bound = F.coalesce("local_name", "imported_name", "specifier")
+    usages = imports.select("repo", "path", bound.alias("name"), bound.alias("text")).where("name is not null").groupBy("repo", "path", "name", "text").agg(F.count("*").alias("n"))
+    got = {r.doc: r.score for r in retrieve.symbol_lane(q, symbols, imports, bound=bound).collect()}
+    assert got == {r.doc: r.score for r in retrieve.symbol_lane(q, symbols, imports, usages).collect()}
+    assert got == {"a.py": 2 * (14 + 1) + 2 * (14 - 1), "c.py": 10 + 1 + 10 - 1, "queue/e.py": 10 - 1}
+
+
 @pytest.mark.skipif(not SMALL.exists(), reason="no test tables here")
 def test_scenarios_take_both_rankings_from_one_pass(spark):
     df = A.e1_scenarios(spark, str(SMALL))
