@@ -1,6 +1,7 @@
 """Pairs of queries and documents: against brute force over several blocks, and without a shuffle of pairs."""
 
 import random
+import tracemalloc
 from collections import Counter
 from math import log
 from pathlib import Path
@@ -242,3 +243,26 @@ def test_scenarios_take_both_rankings_from_one_pass(spark):
     none = F.array().cast("array<string>")
     s = t.join(lists[0], "query", "left").join(lists[1], "query", "left").select(F.col("query").alias("scenario"), "expected", F.coalesce("found", none).alias("found"), F.coalesce("baseline", none).alias("baseline"), *(none.alias(n) for n in ("tests_found", "tests_expected", "forbidden")), F.lit(0.0).alias("min_recall"))
     assert sorted(map(str, df.collect())) == sorted(map(str, A.evaluate.score_scenarios(s).collect()))
+
+
+def test_groups_are_views_of_one_copy():
+    rng = np.random.default_rng(11)
+    keys, values = rng.integers(0, 50, 2_000), rng.integers(0, 9, 2_000)
+    got, twice = pairs._groups(keys, 60, values, values * 2)
+    assert [x.tolist() for x in got] == [values[keys == k].tolist() for k in range(60)]
+    assert [x.tolist() for x in twice] == [(values[keys == k] * 2).tolist() for k in range(60)]
+    assert len({id(x.base) for x in got}) == 1
+
+
+def test_fusion_holds_links_of_a_scope_once():
+    rng = random.Random(12)
+    names = [f"src/{rng.choice(WORDS)}/f{d}.py" for d in range(1_000)]
+    one = lambda d: dict(doc=d, rank=1.0, dirty=False, paths=[dict(values=[d.split("/")[-1]], own=True, add=0.0, n=1)], items=[dict(values=[d[:-3]], own=True, add=1.0, n=1)], terms=[dict(term=rng.choice(WORDS), tf=2)], length=2, imports=rng.sample(names, 8), edges=rng.sample(names, 8))
+    docs = pa.array([one(d) for d in names])
+    queries = pa.array([dict(query=k, text=t, terms=[t], changing=False, asked=[dict(term=t, idf=1.0)], avg_length=2.0) for k, t in enumerate(WORDS)])
+    tracemalloc.start()
+    rows = list(pairs.fused_rows(retrieve.LANE_WEIGHT, raw=20)(docs, queries))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # a copy for each document of its scope's links took 4 * 1,000 * 64 KB
+    assert len(rows) == 20 and most < 32e6
