@@ -266,3 +266,16 @@ def test_fusion_holds_links_of_a_scope_once():
     tracemalloc.stop()
     # a copy for each document of its scope's links took 4 * 1,000 * 64 KB
     assert len(rows) == 20 and most < 32e6
+
+
+def test_postings_of_raw_term_ranks_are_held_once():
+    rng = random.Random(13)
+    terms = [f"{a}{n}" for a in WORDS for n in range(30)]
+    docs = pa.array([dict(doc=f"d{d}", terms=[dict(term=t, tf=2) for t in rng.sample(terms, 10)], length=20) for d in range(2_000)])
+    queries = pa.array([dict(query=k, asked=[dict(term=t, idf=1.0)], avg_length=20.0) for k, t in enumerate(terms)])
+    tracemalloc.start()
+    found = pairs.Terms(docs, queries)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # a copy for each term of all postings took 2 * 300 * 160 KB
+    assert sum(len(x) for x in found.by_doc) == 20_000 and most < 16e6
