@@ -279,3 +279,12 @@ def test_postings_of_raw_term_ranks_are_held_once():
     tracemalloc.stop()
     # a copy for each term of all postings took 2 * 300 * 160 KB
     assert sum(len(x) for x in found.by_doc) == 20_000 and most < 16e6
+
+
+def test_a_whole_scope_comes_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "MOST_DOCS", 10)
+    docs = spark.createDataFrame([("r", f"d{n}", 1) for n in range(60)] + [("s", "e", 1)], "scope string, doc string, n int")
+    grid = pairs.cells(docs, spark.createDataFrame([("r", 1), ("s", 2)], "scope string, query int"), None)
+    assert max(len(r.docs) for r in grid.collect()) < 60
+    rows = lambda docs, queries: iter([(0, np.arange(len(docs)), np.full(len(docs), len(docs)))])
+    assert sorted((r.query, r.doc, r.n) for r in pairs.scored(grid, rows, "n long").collect()) == sorted([(1, f"d{n}", 60) for n in range(60)] + [(2, "e", 1)])
